@@ -153,6 +153,12 @@ def dedup_table(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     return dedup(docs.where(old), docs.where(~old), text, doc_id)
 
 
+def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs, all columns, without the rows that have an equal text of smaller doc_id; null doc_ids stay."""
+    dropped = dedup_table(docs, text, doc_id).where("not kept and doc_id is not null").select(F.col("doc_id").alias(doc_id)).distinct()
+    return docs.join(dropped, doc_id, "left_anti").select(docs.columns)
+
+
 ORACLE = r"""
 with n as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents)
 select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size, coalesce(doc_id = min(doc_id) over w, false) as kept, text_sha256

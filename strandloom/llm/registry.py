@@ -4,17 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, urls
+from . import decontaminate, exact, mixing, quality, simhash, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return quality.scored(documents, quality.train(documents, _table(spark, sf_dir, "labels")))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(_table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(_table(spark, sf_dir, "pages"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return mixing.mixed(documents).select("doc_id", "source", "block", "slot", "position")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup_table(_table(spark, sf_dir, "documents"))
 
@@ -24,5 +38,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest_columns(report)
 
 
-QUERIES = {"op7_url_filter": op7_url_filter, "op9_exact_dedup": op9_exact_dedup, "op10_decontamination": op10_decontamination}
+QUERIES = {f.__name__: f for f in (op4_quality, op5_simhash, op7_url_filter, op8_mixing, op9_exact_dedup, op10_decontamination)}
 ORACLES = {"op7_url_filter": urls.ORACLE, "op9_exact_dedup": exact.ORACLE}
