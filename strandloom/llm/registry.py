@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, mixing, quality, simhash, urls
+from . import decontaminate, exact, licenses, mixing, quality, secrets, simhash, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(_table(spark, sf_dir, "documents"))
+
+
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     return quality.scored(documents, quality.train(documents, _table(spark, sf_dir, "labels")))
@@ -38,5 +46,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest_columns(report)
 
 
-QUERIES = {f.__name__: f for f in (op4_quality, op5_simhash, op7_url_filter, op8_mixing, op9_exact_dedup, op10_decontamination)}
-ORACLES = {"op7_url_filter": urls.ORACLE, "op9_exact_dedup": exact.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_licenses, op4_quality, op5_simhash, op7_url_filter, op8_mixing, op9_exact_dedup, op10_decontamination)}
+ORACLES = {"op2_licenses": licenses.ORACLE, "op7_url_filter": urls.ORACLE, "op9_exact_dedup": exact.ORACLE}
