@@ -135,7 +135,7 @@ def dedup(snapshot: DataFrame, batch: DataFrame, text: str = "text", doc_id: str
     # the bytes of the two representatives of each positive, side by side
     ends = hits.select("digest", F.col("keep_id").alias("doc_id"), F.lit(False).alias("old")).unionByName(hits.select("digest", F.col("old_id").alias("doc_id"), F.lit(True).alias("old")))
     both = snapshot.withColumn("old", F.lit(True)).unionByName(batch.withColumn("old", F.lit(False))).where(F.col("doc_id").isNotNull())
-    bytes_of = both.join(ends, ["doc_id", "old"]).select("digest", "old", normalised(F.col("text")).alias("bytes")).where(F.sha2("bytes", 256) == F.col("digest"))
+    bytes_of = both.join(ends.hint("merge"), ["doc_id", "old"]).select("digest", "old", normalised(F.col("text")).alias("bytes")).where(F.sha2("bytes", 256) == F.col("digest"))
     same = bytes_of.groupBy("digest").agg((F.min("bytes") == F.max("bytes")).alias("same")).where("same").select("digest")
     unnamed = hits.where(F.col("keep_id").isNull() | F.col("old_id").isNull()).select("digest")
     merged = hits.join(same.union(unnamed).distinct(), "digest").select("digest", F.least("keep_id", "old_id").alias("both_id"), (F.col("n") + F.col("old_n")).alias("both_n"))
@@ -156,7 +156,7 @@ def dedup_table(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs, all columns, without the rows that have an equal text of smaller doc_id; null doc_ids stay."""
     dropped = dedup_table(docs, text, doc_id).where("not kept and doc_id is not null").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(dropped, doc_id, "left_anti").select(docs.columns)
+    return docs.join(dropped.hint("merge"), doc_id, "left_anti").select(docs.columns)
 
 
 ORACLE = r"""

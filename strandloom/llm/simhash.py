@@ -190,7 +190,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, tex
 def keep_one(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs, all columns, with only the smallest doc_id of each group of near-duplicates; null doc_ids stay."""
     dropped = near_duplicates(docs, k, radius, text, doc_id).where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(dropped, doc_id, "left_anti").select(docs.columns)
+    return docs.join(dropped.hint("merge"), doc_id, "left_anti").select(docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:
