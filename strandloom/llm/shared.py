@@ -38,7 +38,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of df; exact file sizes for scans. Only for choosing partition counts."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def block_count(df: DataFrame, least: int = 64, most: int = 1 << 19) -> int:
