@@ -82,11 +82,22 @@ def _named(value: Column, use) -> Column:
 
 def _tested(token: Column) -> Column:
     """enc, n and p of a token; p is 1 if a test rejects randomness."""
+    # each step names what the next one uses, so that nothing is computed again for every character
     bare = F.regexp_replace(F.translate(token, "-_", "+/"), "=+$", "")
-    enc = F.when(bare.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(bare.rlike("^[A-Z2-7]+$"), "base32").otherwise("base64")
-    pick = lambda i: reduce(lambda c, e: c.when(enc == e, F.lit(ENCODINGS[e][i])), ("base32", "base64"), F.when(enc == "hex", F.lit(ENCODINGS["hex"][i])))
-    shown = F.when(enc == "hex", F.lower(bare)).otherwise(bare)
-    start = F.struct(enc.alias("enc"), pick(1).alias("cells"), pick(2).alias("shift"), F.length(pick(0)).alias("size"), F.filter(F.transform(F.split(shown, ""), lambda c: F.instr(pick(0), c) - 1), lambda v: v >= 0).alias("x"))
+    encoding = lambda b: F.when(b.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(b.rlike("^[A-Z2-7]+$"), "base32").otherwise("base64")
+    pick = lambda enc, i: F.when(enc == "hex", F.lit(ENCODINGS["hex"][i])).when(enc == "base32", F.lit(ENCODINGS["base32"][i])).otherwise(F.lit(ENCODINGS["base64"][i]))
+
+    def encoded(b: Column) -> Column:
+        return F.struct(b.alias("bare"), encoding(b).alias("enc"))
+
+    def described(e: Column) -> Column:
+        enc = e["enc"]
+        return F.struct(enc.alias("enc"), pick(enc, 0).alias("alphabet"), pick(enc, 1).alias("cells"), pick(enc, 2).alias("shift"), F.when(enc == "hex", F.lower(e["bare"])).otherwise(e["bare"]).alias("shown"))
+
+    def numbered(d: Column) -> Column:
+        x = F.filter(F.transform(F.filter(F.split(d["shown"], ""), lambda c: c != ""), lambda c: F.instr(d["alphabet"], c) - 1), lambda v: v >= 0)
+        return F.struct(d["enc"].alias("enc"), d["cells"].alias("cells"), d["shift"].alias("shift"), F.length(d["alphabet"]).alias("size"), x.alias("x"))
+
     total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, v: s + f(v))
 
     def moments(s: Column) -> Column:
@@ -116,7 +127,7 @@ def _tested(token: Column) -> Column:
         p = F.when((n < 2) | (z > LIMIT) | (text <= 0), F.lit(1.0)).otherwise(_upper_tail(F.greatest(text, F.lit(0.0))))
         return F.struct(m["enc"].alias("enc"), n.cast("int").alias("n"), p.alias("p"))
 
-    return _named(_named(start, moments), verdict)
+    return _named(_named(_named(_named(_named(bare, encoded), described), numbered), moments), verdict)
 
 
 def _binned(p: Column) -> Column:
