@@ -42,7 +42,7 @@ def fold(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
-def _shapes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray) -> np.ndarray:
+def _shapes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray, doc: np.ndarray) -> np.ndarray:
     def count(mask):
         total = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
         return total[ends] - total[starts]
@@ -52,7 +52,7 @@ def _shapes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.nda
     letters = upper + lower
     case = np.where(letters == 0, 0, np.where(upper == 0, 1, np.where((upper >= 2) & (2 * upper > letters), 3, 2)))
     signs = np.minimum(n - letters - digits, 4)
-    again = np.concatenate([[0], (words[1:] == words[:-1]).astype(np.int64)]) if len(words) else np.zeros(0, np.int64)
+    again = np.concatenate([[0], ((words[1:] == words[:-1]) & (doc[1:] == doc[:-1])).astype(np.int64)]) if len(words) else np.zeros(0, np.int64)
     return (((case * 2 + (digits > 0)) * 5 + signs) * 32 + _LAST[raw[ends - 1]]) * 2 + again
 
 
@@ -69,7 +69,7 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         bigrams = raw[:-1].astype(np.int64) * 256 + raw[1:]
         inside = doc_of[:-1] == doc_of[1:]
         keys = [(doc_of[:-1] << BITS)[inside] + bigrams[inside]]
-        shapes = _shapes(raw, starts, ends, words).astype(np.uint64)
+        shapes = _shapes(raw, starts, ends, words, doc).astype(np.uint64)
         keys.append((doc << BITS) + (1 << 17) + (words >> np.uint64(47)).astype(np.int64))
         gram = shapes
         for n in range(1, 5):
