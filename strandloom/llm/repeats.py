@@ -223,8 +223,8 @@ def brute_force(docs: list[tuple]) -> list[tuple]:
 
 ORACLE = r"""
 with t as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
-at as (select doc_id, k, array_to_string(w[k:k + 19], ' ') as win from (select doc_id, w, unnest(range(1, len(w) - 18)) as k from t)),
-late as (select doc_id, k from (select doc_id, k, row_number() over (partition by win order by doc_id, k) as r from at) where r > 1),
+runs as (select doc_id, k, array_to_string(w[k:k + 19], ' ') as win from (select doc_id, w, unnest(range(1, len(w) - 18)) as k from t)),
+late as (select doc_id, k from (select doc_id, k, row_number() over (partition by win order by doc_id, k) as r from runs) where r > 1),
 gone as (select distinct doc_id, unnest(range(k, k + 20)) as p from late),
 each as (select doc_id, p, word from (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from t)),
 kept as (select e.doc_id, string_agg(word, ' ' order by e.p) as s, count(*) as n from each e anti join gone g on e.doc_id = g.doc_id and e.p = g.p group by 1)
