@@ -101,14 +101,15 @@ def _tested(token: Column) -> Column:
     total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, v: s + f(v))
 
     def moments(s: Column) -> Column:
-        x, n = s["x"], F.size(s["x"]).cast("double")
+        x = s["x"]
+        n = F.greatest(F.size(x), F.lit(1)).cast("double")
         width = s["size"] / s["cells"]
         cells = F.transform(F.sequence(F.lit(0), s["cells"] - 1), lambda j: F.size(F.filter(x, lambda v: F.floor(v / width) == j)).cast("double"))
         pairs = F.arrays_zip(F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0))).alias("a"), F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0))).alias("b"))
         half = s["size"] / 2
         mean = total(x, lambda v: v) / n
         return F.struct(
-            s["enc"].alias("enc"), n.alias("n"), s["cells"].cast("double").alias("k"), s["shift"].alias("shift"),
+            s["enc"].alias("enc"), F.size(x).alias("n"), s["cells"].cast("double").alias("k"), s["shift"].alias("shift"),
             (total(cells, lambda c: c * c) * s["cells"] / n - n).alias("chi"),
             total(x, lambda v: (v >= half).cast("double")).alias("high"),
             (total(pairs, lambda p: ((p["a"] >= half) != (p["b"] >= half)).cast("double")) + 1).alias("runs"),
@@ -116,7 +117,7 @@ def _tested(token: Column) -> Column:
         )
 
     def verdict(m: Column) -> Column:
-        n, k, freedom = m["n"], m["k"], m["k"] - 1
+        n, freedom = F.greatest(m["n"], F.lit(1)).cast("double"), m["k"] - 1
         low = n - m["high"]
         expected = 2 * m["high"] * low / n + 1
         spread = F.sqrt(F.greatest((expected - 1) * (expected - 2) / F.greatest(n - 1, F.lit(1.0)), F.lit(1e-9)))
@@ -125,7 +126,7 @@ def _tested(token: Column) -> Column:
         shift = n * m["shift"]
         text = (freedom + shift - m["chi"]) / F.sqrt(2 * (freedom + 2 * shift))
         p = F.when((n < 2) | (z > LIMIT) | (text <= 0), F.lit(1.0)).otherwise(_upper_tail(F.greatest(text, F.lit(0.0))))
-        return F.struct(m["enc"].alias("enc"), n.cast("int").alias("n"), p.alias("p"))
+        return F.struct(m["enc"].alias("enc"), m["n"].alias("n"), p.alias("p"))
 
     return _named(_named(_named(_named(_named(bare, encoded), described), numbered), moments), verdict)
 
