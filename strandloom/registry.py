@@ -1,5 +1,478 @@
-"""Names of all queries outside the llm subpackage, with their DuckDB SQL."""
+"""Queries outside the llm subpackage, by name, with their DuckDB SQL.
+
+Reads come from documents by fixed letter maps (sources/reads.py), with adapters planted by
+doc_id. Every query runs over the whole table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from .functions.quality import mean_arith_q, mean_prob_q, median_q
+from .functions.sequence import gc_fraction, kmers, reverse_complement
+from .functions.text import fastq_record, segment_name
+from .operators import adapters, counters, detect, filters, infer, mods, trim
+from .plans.model import AdapterPlan, FilterPlan, QualityOp, TrimPlan
+from .sources.catalog import CATALOG_ORACLE, Adapter, catalog, catalog_frame
+from .sources.reads import READS_SQL, doc_reads
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 FLAGSHIP = "fastq_render"
+
+ADAPTER = "GGGGTTTTGGGGTTTT"
+EXACT = AdapterPlan((Adapter("a5", ADAPTER, "5"),), error_rate=0.0, end_size=20, split=False)
+SPLIT = AdapterPlan((Adapter("ab", ADAPTER, "both"),), error_rate=0.0, end_size=20, split=True)
+FUZZY = AdapterPlan((Adapter("BC01", "AAGAAAGTTGTCGGTGTCTTTGTG", "both"), Adapter("BC02", "TCGATTCCGTTTGTAGTCGTCTGT", "both")), error_rate=0.2, end_size=150, split=False)
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return put
+
+
+def _with(sql: str) -> str:
+    return f"with {READS_SQL} {sql}"
+
+
+def _segments_sql(body: str) -> str:
+    return _with(f"{body} select name, idx::int as idx, s::int as s, e::int as e from segs")
+
+
+def _rows(trimmed: DataFrame) -> DataFrame:
+    return trimmed.select("name", F.posexplode("segs").alias("idx", "g")).select("name", "idx", F.col("g.s").alias("s"), F.col("g.e").alias("e"))
+
+
+# ---- scan and read summaries ----
+
+
+@query("reads_scan", _with("select name, length(seq)::int as n, md5(seq || qual) as digest from reads"))
+def _(spark, sf):
+    return doc_reads(spark, sf).select("name", F.length("seq").alias("n"), F.md5(F.concat("seq", "qual")).alias("digest"))
+
+
+@query("reads_gc", _with("select name, round(case when length(seq) > 0 then length(regexp_replace(seq, '[^GCgc]', '', 'g')) / length(seq) else 0 end, 9) as gc from reads"))
+def _(spark, sf):
+    return doc_reads(spark, sf).select("name", F.round(gc_fraction(F.col("seq")), 9).alias("gc"))
+
+
+_PHREDS = "list_transform(string_split(qual, ''), lambda c: (ascii(c) - 33)::double)"
+
+
+@query("reads_q_mean", _with("select name, case when qual = '' then 0.0 else round(-10 * log10(list_avg(list_transform(string_split(qual, ''), lambda c: power(10.0, -(ascii(c) - 33) / 10.0)))), 6) end as q from reads"))
+def _(spark, sf):
+    return doc_reads(spark, sf).select("name", F.round(mean_prob_q("qual"), 6).alias("q"))
+
+
+@query("reads_q_arith", _with(f"select name, case when qual = '' then 0.0 else round(list_avg({_PHREDS}), 6) end as q from reads"))
+def _(spark, sf):
+    return doc_reads(spark, sf).select("name", F.round(mean_arith_q("qual"), 6).alias("q"))
+
+
+@query("reads_q_median", _with(f"select name, case when qual = '' then 0.0 else list_median({_PHREDS}) end as q from reads"))
+def _(spark, sf):
+    return doc_reads(spark, sf).select("name", median_q("qual").alias("q"))
+
+
+@query("revcomp", _with("select name, md5(reverse(translate(seq, 'ACGTacgt', 'TGCAtgca'))) as rc from reads"))
+def _(spark, sf):
+    return doc_reads(spark, sf).select("name", F.md5(reverse_complement(F.col("seq"))).alias("rc"))
+
+
+# ---- crops and quality operators ----
+
+
+def _crop_sql(head: int, tail: int) -> str:
+    return f"segs as (select name, 0 as idx, least({head}, length(seq)) as s, greatest(greatest(length(seq) - {tail}, 0), least({head}, length(seq))) as e from reads where least({head}, length(seq)) < greatest(greatest(length(seq) - {tail}, 0), least({head}, length(seq))))"
+
+
+@query("crop_fixed", _segments_sql(", " + _crop_sql(5, 7)))
+def _(spark, sf):
+    return _rows(trim.segments(doc_reads(spark, sf), TrimPlan(5, 7)))
+
+
+@query("crop_overrun", _segments_sql(", " + _crop_sql(1000, 1000)))
+def _(spark, sf):
+    return _rows(trim.segments(doc_reads(spark, sf), TrimPlan(1000, 1000)))
+
+
+@query("qual_trim_q20", _segments_sql(", segs as (select name, 0 as idx, length(regexp_extract(qual, '^[!-4]*')) as s, length(qual) - length(regexp_extract(reverse(qual), '^[!-4]*')) as e from reads where regexp_matches(qual, '[5-~]'))"))
+def _(spark, sf):
+    return _rows(trim.segments(doc_reads(spark, sf), TrimPlan(quality=QualityOp("trim", 20))))
+
+
+_MOTT = """, folded as (
+  select name, list_reduce(
+    list_transform(range(length(qual)), lambda i: {'i': i::bigint, 'g': power(10.0, -20 / 10.0) - power(10.0, -(ascii(qual[i + 1]) - 33) / 10.0), 'cur': 0.0::double, 'cs': 0::bigint, 'best': 0.0::double, 'bs': 0::bigint, 'be': 0::bigint}),
+    lambda a, x: list_transform([{'cur': (case when a.cur < 0 then 0.0 else a.cur end) + x.g, 'cs': case when a.cur < 0 then x.i else a.cs end}],
+      lambda n: {'i': x.i, 'g': x.g, 'cur': n.cur, 'cs': n.cs,
+        'best': case when n.cur > a.best or (n.cur = a.best and a.be - a.bs < x.i - n.cs + 1) then n.cur else a.best end,
+        'bs': case when n.cur > a.best or (n.cur = a.best and a.be - a.bs < x.i - n.cs + 1) then n.cs else a.bs end,
+        'be': case when n.cur > a.best or (n.cur = a.best and a.be - a.bs < x.i - n.cs + 1) then x.i + 1 else a.be end})[1],
+    {'i': -1::bigint, 'g': 0.0::double, 'cur': -1.0::double, 'cs': 0::bigint, 'best': 0.0::double, 'bs': 0::bigint, 'be': 0::bigint}) as f
+  from reads),
+segs as (select name, 0 as idx, f.bs as s, f.be as e from folded where f.be > f.bs)"""
+
+
+@query("best_segment_q20", _segments_sql(_MOTT))
+def _(spark, sf):
+    return _rows(trim.segments(doc_reads(spark, sf), TrimPlan(quality=QualityOp("best", 20))))
+
+
+def _split_sql(window: int, cut: str = "qual", start: str = "0", source: str = "reads") -> str:
+    return f""", good as (
+  select name, p from (select name, unnest(string_split({cut}, '')) as c, unnest(range(length({cut}))) as p from {source}) where c >= '5'),
+marked as (select name, p, case when p - lag(p) over (partition by name order by p) > {window} then 1 else 0 end as new from good),
+runs as (select name, p, sum(new) over (partition by name order by p) as idx from marked),
+segs as (select name, idx, min(p) + {start} as s, max(p) + 1 + {start} as e from runs group by name, idx)"""
+
+
+@query("qual_split_w1", _segments_sql(_split_sql(1)))
+def _(spark, sf):
+    return _rows(trim.segments(doc_reads(spark, sf), TrimPlan(quality=QualityOp("split", 20, 1))))
+
+
+@query("qual_split_w3", _segments_sql(_split_sql(3)))
+def _(spark, sf):
+    return _rows(trim.segments(doc_reads(spark, sf), TrimPlan(quality=QualityOp("split", 20, 3))))
+
+
+_CUT = "substr(qual, 6, greatest(length(qual) - 12, 0))"
+
+
+@query("crop_then_split", _segments_sql(_split_sql(3, _CUT, "5")))
+def _(spark, sf):
+    return _rows(trim.segments(doc_reads(spark, sf), TrimPlan(5, 7, QualityOp("split", 20, 3))))
+
+
+# ---- segments, names, filters ----
+
+_SPLIT3 = TrimPlan(quality=QualityOp("split", 20, 3))
+
+
+def _judged(spark, sf, plan: TrimPlan, rules: FilterPlan) -> DataFrame:
+    return filters.judged(trim.exploded(trim.segments(doc_reads(spark, sf), plan)), rules)
+
+
+_TOTALS = ", counted as (select name, idx, s, e, count(*) over (partition by name) as total from segs)"
+_NAMED = "case when total > 1 then name || '_segment_' || (idx + 1)::bigint else name end"
+
+
+@query("split_then_filter", _with(f"{_split_sql(3)} {_TOTALS} select {_NAMED} as name, (e - s)::int as n from counted where e - s >= 20"))
+def _(spark, sf):
+    rows = _judged(spark, sf, _SPLIT3, FilterPlan(min_length=20)).where("drop_reason is null")
+    return rows.select(segment_name(F.col("name"), F.col("idx"), F.col("total")).alias("name"), (F.col("e") - F.col("s")).alias("n"))
+
+
+@query("segment_names", _with(f"{_split_sql(1)} {_TOTALS} select {_NAMED} || ' x' as name, total::int as total from counted"))
+def _(spark, sf):
+    rows = trim.exploded(trim.segments(doc_reads(spark, sf), TrimPlan(quality=QualityOp("split", 20, 1))))
+    return rows.select(segment_name(F.concat("name", F.lit(" x")), F.col("idx"), F.col("total")).alias("name"), "total")
+
+
+@query("filter_length", _with("select name, length(seq)::int as n from reads where length(seq) between 200 and 4000"))
+def _(spark, sf):
+    return _judged(spark, sf, TrimPlan(), FilterPlan(200, 4000)).where("drop_reason is null").select("name", F.length("seq").alias("n"))
+
+
+def _quality_query(mode: str, low: float, high: float, value: str):
+    @query(f"filter_quality_{mode}", _with(f"select name from reads where length(seq) > 0 and round({value}, 9) between {low} and {high}"))
+    def _(spark, sf):
+        return _judged(spark, sf, TrimPlan(), FilterPlan(min_quality=low, max_quality=high, mode=mode)).where("drop_reason is null").select("name")
+
+
+_quality_query("mean", 15.5, 20.25, "-10 * log10(list_avg(list_transform(string_split(qual, ''), lambda c: power(10.0, -(ascii(c) - 33) / 10.0))))")
+_quality_query("arith", 26.0, 27.25, f"list_avg({_PHREDS})")
+_quality_query("median", 20.0, 28.0, f"list_median({_PHREDS})")
+
+
+@query("filter_gc", _with("select name from reads where length(seq) > 0 and length(regexp_replace(seq, '[^GC]', '', 'g')) / length(seq) between 0.45 and 0.5"))
+def _(spark, sf):
+    return _judged(spark, sf, TrimPlan(), FilterPlan(min_gc=0.45, max_gc=0.5)).where("drop_reason is null").select("name")
+
+
+_RULES = FilterPlan(20, 400, 21.0, 26.0, 0.3, 0.7, "arith")
+_REASON = """case when e - s < 20 then 'too_short' when e - s > 400 then 'too_long' when q < 21 then 'low_quality' when q > 26 then 'high_quality'
+  when gc < 0.3 or gc > 0.7 then 'gc' end"""
+_JUDGED = f""", cut as (select c.name, idx, s, e, total, substr(seq, (s + 1)::bigint, (e - s)::bigint) as sq, substr(qual, (s + 1)::bigint, (e - s)::bigint) as ql from counted c join reads using (name)),
+judged as (select name, s, e, {_REASON} as drop_reason from (
+  select *, list_avg(list_transform(string_split(ql, ''), lambda c: (ascii(c) - 33)::double)) as q, length(regexp_replace(sq, '[^GC]', '', 'g')) / length(sq) as gc from cut))"""
+
+
+@query("drop_reasons", _with(f"{_split_sql(3)} {_TOTALS} {_JUDGED} select coalesce(drop_reason, 'kept') as reason, count(*) as n from judged group by 1"))
+def _(spark, sf):
+    return _judged(spark, sf, _SPLIT3, _RULES).groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _hard(spark, sf):
+    trimmed = trim.segments(doc_reads(spark, sf).withColumn("read", F.col("name")), TrimPlan(quality=QualityOp("split", 38, 2)))
+    return trimmed, filters.judged(trim.exploded(trimmed), FilterPlan(2, 400))
+
+
+_HARD = _split_sql(2).replace("c >= '5'", "c >= 'G'") + ", judged as (select name, s, e, case when e - s < 2 then 'too_short' when e - s > 400 then 'too_long' end as drop_reason from segs)"
+
+
+@query("run_counters", _with(f"""{_HARD},
+r as (select name, length(seq) as n from reads),
+b as (select name, count_if(drop_reason is null) as o, sum(case when drop_reason is null then e - s else 0 end) as bases, count_if(drop_reason = 'too_short') as sh, count_if(drop_reason = 'too_long') as lo from judged group by 1)
+select (select count(*) from r) as input_reads, sum(o)::bigint as output_reads, (select sum(n) from r)::bigint as input_bases, sum(bases)::bigint as output_bases, 0::bigint as malformed_tag_reads,
+  (select count(*) from r where name not in (select name from b)) as reads_trimmed_to_nothing, count_if(o = 0)::bigint as reads_all_filtered, sum(sh)::bigint as segments_dropped_short, sum(lo)::bigint as segments_dropped_long,
+  0::bigint as segments_dropped_low_qual, 0::bigint as segments_dropped_high_qual, 0::bigint as segments_dropped_gc from b"""))
+def _(spark, sf):
+    return counters.counters(*_hard(spark, sf))
+
+
+@query("read_outcomes", _with(f"{_HARD}, b as (select name, count_if(drop_reason is null) as o from judged group by 1) select r.name, case when o is null then 'trimmed_to_nothing' when o = 0 then 'all_filtered' else 'with_output' end as outcome from reads r left join b using (name)"))
+def _(spark, sf):
+    trimmed = trim.segments(doc_reads(spark, sf), TrimPlan(quality=QualityOp("split", 38, 2)))
+    n = lambda g: g["e"] - g["s"]
+    reasons = F.transform("segs", lambda g: F.when(n(g) < 2, "too_short").when(n(g) > 400, "too_long"))
+    return counters.per_read(trimmed, reasons).select("name", "outcome")
+
+
+@query("fastq_render", _with(f"{_split_sql(3)} {_TOTALS} select '@' || {_NAMED} || chr(10) || substr(seq, (s + 1)::bigint, (e - s)::bigint) || chr(10) || '+' || chr(10) || substr(qual, (s + 1)::bigint, (e - s)::bigint) as record from counted join reads using (name) where e - s >= 20"))
+def _(spark, sf):
+    rows = _judged(spark, sf, _SPLIT3, FilterPlan(min_length=20)).where("drop_reason is null")
+    return rows.select(fastq_record(segment_name(F.col("name"), F.col("idx"), F.col("total")), F.col("seq"), F.col("qual")).alias("record"))
+
+
+# ---- adapters ----
+
+
+def _planted(spark, sf) -> DataFrame:
+    """Reads with the adapter at the start, the end or inside, by doc_id modulo 32."""
+    k, a = F.pmod("doc_id", F.lit(32)), F.lit(ADAPTER)
+    where = lambda c, x: F.when(k == 8, F.concat(x, c)).when(k == 9, F.concat(c, x)).when((k == 10) & (F.length(c) > 40), F.concat(F.substring(c, 1, 40), x, F.substring(c, F.lit(41), F.length(c)))).otherwise(c)
+    r = doc_reads(spark, sf)
+    return r.select("doc_id", "name", where(F.col("seq"), a).alias("seq"), where(F.col("qual"), F.lit("I" * len(ADAPTER))).alias("qual"))
+
+
+_PLANTED = f""", planted as (select name, case when doc_id % 32 = 8 then '{ADAPTER}' || seq when doc_id % 32 = 9 then seq || '{ADAPTER}'
+  when doc_id % 32 = 10 and length(seq) > 40 then substr(seq, 1, 40) || '{ADAPTER}' || substr(seq, 41) else seq end as seq from reads)"""
+_RC = "AAAACCCCAAAACCCC"
+# exact hits of either strand, as 0-based starts, found at every position
+_HITS = f""", hits as (
+  select name, n, p - 1 as s, p + 15 as e from (select name, length(seq) as n, seq, unnest(range(1, greatest(length(seq) - 14, 1))) as p from planted)
+  where substr(seq, p, 16) in ('{ADAPTER}', '{_RC}'))"""
+
+
+def _cut(spark, sf, plan: AdapterPlan) -> DataFrame:
+    return trim.segments(_planted(spark, sf), TrimPlan(), adapters.adapter_segments(plan))
+
+
+@query("adapter_exact_five", _with(f"{_PLANTED} {_HITS} select p.name, coalesce(max(e), 0)::int as s, length(p.seq)::int as e from planted p left join hits h on p.name = h.name and h.s <= 20 where length(p.seq) > 0 group by p.name, p.seq having coalesce(max(e), 0) < length(p.seq)"))
+def _(spark, sf):
+    return _rows(_cut(spark, sf, EXACT)).select("name", "s", "e")
+
+
+@query("adapter_exact_three", _with(f"{_PLANTED} {_HITS} select p.name, 0::int as s, coalesce(min(s), length(p.seq))::int as e from planted p left join hits h on p.name = h.name and h.e >= h.n - 20 where length(p.seq) > 0 group by p.name, p.seq having coalesce(min(s), length(p.seq)) > 0"))
+def _(spark, sf):
+    plan = AdapterPlan((Adapter("a3", ADAPTER, "3"),), error_rate=0.0, end_size=20, split=False)
+    return _rows(_cut(spark, sf, plan)).select("name", "s", "e")
+
+
+@query("adapter_exact_interior", _with(f"{_PLANTED} {_HITS} select name, s::int as s, e::int as e from hits where s > 20 and e < n - 20"))
+def _(spark, sf):
+    found = F.transform(F.sequence(F.lit(1), F.greatest(F.length("seq") - len(ADAPTER) + 1, F.lit(1))), lambda p: F.when(F.substring(F.col("seq"), p, F.lit(len(ADAPTER))).isin(ADAPTER, _RC), p))
+    hits = _planted(spark, sf).where(F.contains("seq", F.lit(ADAPTER)) | F.contains("seq", F.lit(_RC))).select("name", F.length("seq").alias("n"), F.explode(F.array_compact(found)).alias("p"))
+    return hits.select("name", (F.col("p") - 1).alias("s"), (F.col("p") + len(ADAPTER) - 1).alias("e"), "n").where("s > 20 and e < n - 20").drop("n")
+
+
+_KINDS = """, kinds as (select *, case when s <= 20 and e >= n - 20 then 'excise' when s <= 20 then 'five' when e >= n - 20 then 'three' else 'cut' end as kind from hits),
+ends as (select p.name, length(p.seq) as n, coalesce(max(case when kind = 'five' then k.e end), 0) as lo, coalesce(min(case when kind = 'three' then k.s end), length(p.seq)) as hi from planted p left join kinds k using (name) group by p.name, p.seq)"""
+
+
+@query("adapter_segments_exact", _with(f"""{_PLANTED} {_HITS} {_KINDS},
+dead as (select name, unnest(range(s::bigint, e::bigint)) as p from kinds where kind in ('cut', 'excise')),
+live as (select e.name, p from (select name, unnest(range(lo::bigint, hi::bigint)) as p from ends) e anti join dead d on e.name = d.name and e.p = d.p),
+isles as (select name, p, p - row_number() over (partition by name order by p) as g from live)
+select name, (row_number() over (partition by name order by min(p)) - 1)::int as idx, min(p)::int as s, (max(p) + 1)::int as e from isles group by name, g"""))
+def _(spark, sf):
+    return _rows(_cut(spark, sf, SPLIT))
+
+
+@query("adapter_ends_only", _with(f"""{_PLANTED} {_HITS},
+kinds as (select *, case when s <= 20 and e >= n - 20 then (case when s <= n - e then 'five' else 'three' end) when s <= 20 then 'five' when e >= n - 20 then 'three' end as kind from hits),
+ends as (select p.name, length(p.seq) as n, coalesce(max(case when kind = 'five' then k.e end), 0) as lo, coalesce(min(case when kind = 'three' then k.s end), length(p.seq)) as hi from planted p left join kinds k using (name) group by p.name, p.seq)
+select name, lo::int as s, hi::int as e from ends where lo < hi"""))
+def _(spark, sf):
+    plan = AdapterPlan(SPLIT.adapters, error_rate=0.0, end_size=20, split=False)
+    return _rows(_cut(spark, sf, plan)).select("name", "s", "e")
+
+
+_BC01 = FUZZY.adapters[0].seq
+# one column of the semi-global table per text base, folded over the first 100 bases
+_FUZZY_SQL = f"""
+, t as (select name, substr(seq, 1, 100) as w from reads where length(seq) > 0),
+dp as (select name, list_reduce(
+    list_transform(string_split(w, ''), lambda c: {{'c': c, 'col': range(0, 25)::int[], 'least': 24::int}}),
+    lambda a, x: list_transform([list_reduce(
+        list_transform(range(1, 25), lambda i: [least(a.col[i] + (case when substr('{_BC01}', i, 1) = x.c then 0 else 1 end), a.col[i + 1] + 1)]::int[]),
+        lambda u, v: list_append(u, least(v[1], u[-1] + 1)::int), [0]::int[])],
+      lambda n: {{'c': x.c, 'col': n, 'least': least(a.least, n[25])}})[1],
+    {{'c': '', 'col': range(0, 25)::int[], 'least': 24::int}}) as f from t)
+select name, f.least::int as cost from dp"""
+
+
+@query("adapter_fuzzy_cost", _with(_FUZZY_SQL))
+def _(spark, sf):
+    return doc_reads(spark, sf).where(F.length("seq") > 0).select("name", adapters.min_end_cost(F.col("seq"), _BC01, 100).alias("cost"))
+
+
+@query("adapter_fuzzy_trim")
+def _(spark, sf):
+    return _rows(trim.segments(doc_reads(spark, sf), TrimPlan(), adapters.adapter_segments(FUZZY)))
+
+
+@query("adapter_presence", _with(f"""{_PLANTED} {_HITS}
+select 0::int as adapter, count(distinct name)::bigint as reads from hits where s <= 20 or e >= n - 20
+union all select 1::int, 0::bigint"""))
+def _(spark, sf):
+    plan = AdapterPlan((Adapter("ab", ADAPTER, "both"), Adapter("none", "ACACACACACACACACACACTTTTTTTTTTTT", "both")), error_rate=0.0, end_size=20, split=False)
+    return detect.presence(_planted(spark, sf), plan)
+
+
+# ---- k-mers and inference ----
+
+
+def _kmer_sql(window: str) -> str:
+    return _with(f""", w as (select {window} as w from reads where length(seq) > 0),
+k as (select substr(w, i, 16) as kmer from (select w, unnest(range(1, greatest(length(w) - 14, 1))) as i from w where length(w) >= 16))
+select kmer, count(*)::bigint as n from k where regexp_full_match(kmer, '[ACGT]+') and kmer <> repeat(substr(kmer, 1, 2), 8) group by 1 order by n desc, kmer limit 500""")
+
+
+@query("kmer_top500_five", _kmer_sql("substr(seq, 1, 100)"))
+def _(spark, sf):
+    return infer.top_kmers(doc_reads(spark, sf), True)
+
+
+@query("kmer_top500_three", _kmer_sql("substr(seq, greatest(length(seq) - 99, 1), 100)"))
+def _(spark, sf):
+    return infer.top_kmers(doc_reads(spark, sf), False)
+
+
+@query("stride_sample", _with("select name from (select name, row_number() over (order by doc_id) - 1 as i, ceil(count(*) over () / 300.0)::bigint as step from reads) where i % step = 0"))
+def _(spark, sf):
+    return infer.stride_sample(doc_reads(spark, sf).select("doc_id", "name"), ["doc_id"], 300).select("name")
+
+
+@query("infer_report")
+def _(spark, sf):
+    sample = detect.prefix_sample(_everywhere(spark, sf), 40_000, ["doc_id"])
+    found = infer.infer(sample, catalog(), order=("doc_id",))
+    rows = [(x.adapter.name, x.adapter.seq, x.adapter.end, round(x.support, 6), len(x.assembled)) for x in found]
+    return spark.createDataFrame(rows, "name string, seq string, end string, support double, assembled_length int")
+
+
+def _everywhere(spark, sf) -> DataFrame:
+    """Reads of which two in three begin with one ligation adapter."""
+    front = F.lit("AATGTACTTCGTTCAGTTACGTATTGCT")
+    return doc_reads(spark, sf).withColumn("seq", F.when(F.pmod("doc_id", F.lit(3)) > 0, F.concat(front, "seq")).otherwise(F.col("seq"))).select("doc_id", "name", "seq")
+
+
+@query("catalog_dedup", CATALOG_ORACLE)
+def _(spark, sf):
+    return catalog_frame(spark).select("name", "end", "seq")
+
+
+@query("folder_union", _with("select name, part, length(seq)::int as n from (select name, seq, (doc_id % 2)::int as part from reads)"))
+def _(spark, sf):
+    r = doc_reads(spark, sf)
+    parts = [r.where(F.pmod("doc_id", F.lit(2)) == k).select("name", F.lit(k).cast("int").alias("part"), F.length("seq").alias("n")) for k in (0, 1)]
+    return parts[0].unionByName(parts[1])
+
+
+# ---- modifications and tags ----
+
+_CALLS = """, c as (select doc_id, seq, pos, row_number() over (partition by doc_id order by pos) - 1 as occ from (select doc_id, seq, unnest(string_split(seq, '')) as b, unnest(range(length(seq))) as pos from reads) where b = 'C'),
+m as (select doc_id, pos, occ, (pos * 7 % 256)::int as ml from c where occ % 3 = 0)"""
+
+
+def _calls(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Every third C of a read carries a call."""
+    reads = doc_reads(spark, sf)
+    return reads, mods.calls(reads, "C").where("occ % 3 = 0").withColumn("ml", F.pmod(F.col("pos") * 7, F.lit(256)))
+
+
+@query("mods_explode", _with(f"{_CALLS} select doc_id, pos::int as pos, occ::int as occ, ml from m"))
+def _(spark, sf):
+    return _calls(spark, sf)[1].select("doc_id", "pos", "occ", "ml")
+
+
+_WINDOW = """, b as (select doc_id, count_if(pos < 5) as before, count_if(pos < length(seq) - 7) as upto from c group by doc_id, seq),
+kept as (select doc_id, occ, ml, occ - coalesce(lag(occ) over (partition by doc_id order by occ), before - 1) - 1 as delta from m join b using (doc_id) where occ >= before and occ < upto)"""
+
+
+@query("mods_window", _with(f"{_CALLS} {_WINDOW} select doc_id, occ::int as occ, ml, delta::int as delta from kept"))
+def _(spark, sf):
+    reads, calls = _calls(spark, sf)
+    return mods.windowed_calls(calls, reads, "C", 5, 7).select("doc_id", "occ", "ml", "delta")
+
+
+@query("mods_reencode", _with(f"{_CALLS} {_WINDOW} select doc_id, 'C+m,' || string_agg(delta::int::varchar, ',' order by occ) || ';' as mm, string_agg(ml::varchar, ',' order by occ) as ml from kept group by 1"))
+def _(spark, sf):
+    reads, calls = _calls(spark, sf)
+    return mods.reencoded(mods.windowed_calls(calls, reads, "C", 5, 7), "C+m")
+
+
+@query("kinetics_slice", _with("select name, array_to_string(list_transform(range(5, greatest(length(seq) - 7, 5)), lambda j: (doc_id + j) & 255), ',') as ip from reads where length(seq) > 12"))
+def _(spark, sf):
+    ip = F.transform(F.sequence(F.lit(0), F.length("seq") - 1), lambda j: (F.col("doc_id") + j).bitwiseAND(255))
+    cut = doc_reads(spark, sf).where(F.length("seq") > 12).select("name", F.slice(ip, F.lit(6), F.length("seq") - 12).alias("ip"))
+    return cut.select("name", F.array_join(F.transform("ip", lambda v: v.cast("string")), ",").alias("ip"))
+
+
+# moves: every base opens a block of 1, and a base on an even position is followed by a 0
+_ONE = "(2 * p - floor(p / 2)::bigint - (p % 2))"
+
+
+def _move_query(name: str, s: int, tail: int, total: int):
+    """Segment [s, n - tail) of a read; block number of base p is p plus the even positions before it."""
+
+    @query(name, _with(f"""select name, first::bigint as first, (last - first)::bigint as blocks, {'(1000 + doc_id + first * 2)' if total == 1 else '0'}::bigint as ts, {'(1000 + doc_id + last * 2)' if total == 1 else '((last - first) * 2)'}::bigint as ns
+from (select name, doc_id, {s} + ceil({s} / 2.0)::bigint as first, (length(seq) - {tail}) + ceil((length(seq) - {tail}) / 2.0)::bigint as last from reads where length(seq) > {s + tail})"""))
+    def _(spark, sf):
+        n = F.length("seq")
+        flags = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda p: F.when(p % 2 == 0, F.array(F.lit(1), F.lit(0))).otherwise(F.array(F.lit(1)))))
+        ones = F.filter(F.transform(F.col("mv"), lambda v, i: F.when(v == 1, i)), lambda i: i.isNotNull())
+        r = doc_reads(spark, sf).where(n > s + tail).select("name", "doc_id", n.alias("n"), flags.alias("mv")).select("name", "doc_id", "n", ones.alias("ones"), F.size("mv").alias("all"))
+        r = r.select("name", "doc_id", F.element_at("ones", s + 1).cast("bigint").alias("first"), F.when(F.col("n") - tail < F.col("n"), F.try_element_at("ones", F.col("n") - tail + 1)).otherwise(F.col("all")).cast("bigint").alias("last"))
+        start = F.lit(1000) + F.col("doc_id")
+        ts, ns = (start + F.col("first") * 2, start + F.col("last") * 2) if total == 1 else (F.lit(0), (F.col("last") - F.col("first")) * 2)
+        return r.select("name", "first", (F.col("last") - F.col("first")).alias("blocks"), ts.cast("bigint").alias("ts"), ns.cast("bigint").alias("ns"))
+
+
+_move_query("move_table_crop", 5, 7, 1)
+_move_query("move_table_split", 4, 3, 2)
+
+
+@query("polya_shift", _with("select name, case when a >= 10 and b < n - 7 then array_to_string([a - 5, b - 5], ',') end as pa from (select name, length(seq) as n, (doc_id % 50)::bigint as a, (length(seq) - doc_id % 20)::bigint as b from reads)"))
+def _(spark, sf):
+    r = doc_reads(spark, sf).select("name", F.length("seq").alias("n"), F.array(F.pmod("doc_id", F.lit(50)), F.length("seq") - F.pmod("doc_id", F.lit(20))).alias("pa"))
+    inside = (F.element_at("pa", 1) >= 10) & (F.element_at("pa", 2) < F.col("n") - 7)
+    return r.select("name", F.when(inside, F.array_join(F.transform("pa", lambda v: (v - 5).cast("string")), ",")).alias("pa"))
+
+
+_TAGS = ("RG:Z:g", "mv:B:c", "bi:f:1", "st:Z:t", "qs:f:9", "ts:i:5", "MM:Z:C+m;")
+
+
+@query("tag_drop", "select doc_id, 'RG:Z:g,st:Z:t,qs:f:9,MM:Z:C+m;' as tags from documents")
+def _(spark, sf):
+    gone = ("mv", "ts", "ns", "sp", "pi", "pa", "pt", "bi")
+    tags = F.filter(F.array(*map(F.lit, _TAGS)), lambda t: ~F.substring(t, 1, 2).isin(*gone))
+    return doc_reads(spark, sf).select("doc_id", F.array_join(tags, ",").alias("tags"))
+
+
+@query("fastq_tag_select", "select doc_id, 'RG:Z:g' || chr(9) || 'MM:Z:C+m;' as tags from documents")
+def _(spark, sf):
+    tags = F.filter(F.array(*map(F.lit, _TAGS)), lambda t: F.substring(t, 1, 2).isin("RG", "MM"))
+    return doc_reads(spark, sf).select("doc_id", F.array_join(tags, "\t").alias("tags"))
+
+
+@query("qs_refresh", _with(f"select name, round(-10 * log10(list_avg(list_transform(string_split({_CUT}, ''), lambda c: power(10.0, -(ascii(c) - 33) / 10.0)))), 4) as qs from reads where length(seq) > 12"))
+def _(spark, sf):
+    return trim.exploded(trim.segments(doc_reads(spark, sf), TrimPlan(5, 7))).select("name", F.round(mean_prob_q("qual"), 4).alias("qs"))
