@@ -29,7 +29,6 @@ from pyspark.sql import DataFrame, functions as F, types as T, Window
 BLOCK = 16
 DEFAULT = 2
 MOST_SOURCES = 4096
-ROWS_PER_RANGE = 4096
 
 # Target parts of the registered query; other sources get DEFAULT parts.
 TARGETS = {"src0": 6, "src1": 5, "src2": 4, "src3": 3, "src4": 1}
@@ -79,7 +78,8 @@ def mixed(docs: DataFrame, targets: Mapping[str, int] | None = None, block: int
     name = F.coalesce(F.col(source).cast("string"), F.lit(""))
     held = [c for c in docs.columns if c not in ("block", "slot", "position")]
     key = F.xxhash64(F.col(doc_id).cast("string"))
-    ranges = max(16, math.ceil(docs.count() / ROWS_PER_RANGE))
+    # rows per range and ranges per source both grow with the square root of the rows
+    ranges = max(16, math.ceil(math.sqrt(docs.count())))
     rows = docs.select(F.struct(*held).alias("_row"), name.alias("_source"), key.alias("_key"), F.pmod(F.shiftrightunsigned(key, 24), F.lit(ranges)).alias("_range"))
     counts = docs.select(name.alias("_source"), F.pmod(F.shiftrightunsigned(key, 24), F.lit(ranges)).alias("_range")).groupBy("_source", "_range").agg(F.count(F.lit(1)).alias("_n"))
     sums = counts.groupBy("_source").agg(F.sum("_n").alias("n")).limit(MOST_SOURCES + 1).collect()
