@@ -157,6 +157,16 @@ ADAPTER_CASES = [
     (R16, [(R16, "both")], 0.2, 20, True, []),
     ("AA" + R12 + "C" * 20, [(R12, "5")], 0.2, 4, False, [(14, 34)]),
     ("ACGTACG" + "A" * 20, [("ACGTACG", "both")], 0.2, 20, True, [(0, 27)]),
+    # two interior copies that overlap in six bases
+    ("A" * 24 + "GGGGTTTTTGTGTGTG" + "TGTTTTGGGG" + "C" * 24, [("GGGGTTTTTGTGTGTG", "both"), ("TGTGTGTGTTTTGGGG", "both")], 0.2, 20, True, [(0, 24), (50, 74)]),
+    # a terminal copy whose last six bases begin an interior one
+    ("GGTGTGGTTTGTTGGT" + "TGGTGTTGGG" + "C" * 34, [("GGTGTGGTTTGTTGGT", "5"), ("GTTGGTTGGTGTTGGG", "both")], 0.2, 9, True, [(26, 60)]),
+    # four substitutions inside: over the interior budget
+    ("A" * 24 + "GCTTCGTAGGAT" + "C" * 24, [("GGTTGGTTGGTT", "both")], 0.5, 10, True, [(0, 60)]),
+    # six bases inserted into a terminal copy
+    ("AA" + "AAAACCCCGG" + "CTGACT" + "GGTTTTACGT" + "T" * 30, [("AAAACCCCGGGGTTTTACGT", "5")], 0.3, 4, True, [(28, 58)]),
+    ("AA" + "AAAACCCCGG" + "CTGACT" + "GGTTTTACGT" + "T" * 30, [("AAAACCCCGGGGTTTTACGT", "5")], 0.3, 4, False, [(28, 58)]),
+    ("A" * 115 + "GGTTGGTTCCGGTTGGTTCC" + "C" * 115, [("GGTTGGTTCCGGTTGGTTCC", "both")], 0.2, 150, True, [(0, 115), (135, 250)]),
 ]
 
 
