@@ -24,6 +24,7 @@ SPELLINGS = (
 )
 COPYRIGHT = r"\n[ \t*#/;%-]*(copyright[ \t,]*(\(c\)|©)?|\(c\)|©)[ \t,]*([0-9]{4}|<year>|\[year\]|\[yyyy\])[^\n]*"
 RESERVED = r"\n[ \t*#/;%-]*all rights reserved\.?[ \t]*"
+LINE = "(?i)licen[cs]"
 PUNCTUATION = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -80,6 +81,21 @@ def scan(docs: DataFrame, registry: DataFrame | None = None, text: str = "text",
     return rows.join(registry, "canonical_sha256", "left").select("doc_id", "canonical_sha256", "license")
 
 
+def line_licenses(spark, text: Column) -> Column:
+    """Names of this module's licences and notices that single lines of a text equal, sorted and joined by commas."""
+    names = F.create_map(*[F.lit(x) for r in known(spark).groupBy("canonical_sha256").agg(F.min("license").alias("license")).collect() for x in r])
+    lines = F.filter(F.split(F.coalesce(text.cast("string"), F.lit("")), "\n"), lambda x: x.rlike(LINE))
+    found = F.transform(lines, lambda x: F.try_element_at(names, F.sha2(canonical(x), 256)))
+    return F.array_join(F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull()))), ",")
+
+
+def report(docs: DataFrame) -> DataFrame:
+    """scan() of entire texts, and beside it the notices that stand on a line of their own."""
+    rows = docs.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("canonical_sha256"), line_licenses(docs.sparkSession, F.col("text")).alias("line_licenses"))
+    table = F.broadcast(known(docs.sparkSession).groupBy("canonical_sha256").agg(F.min("license").alias("license")))
+    return rows.join(table, "canonical_sha256", "left").select("doc_id", "canonical_sha256", "license", "line_licenses")
+
+
 def _sql() -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
 
@@ -95,9 +111,12 @@ def _sql() -> str:
     return f"""
 with known as (
   select canonical_sha256, min(license) as license
-  from (select license, {canon("text")} as canonical_sha256 from (values {values}) as v(license, text)) group by 1)
-select doc_id, d.canonical_sha256, license
-from (select doc_id, {canon("text")} as canonical_sha256 from documents) d left join known using (canonical_sha256)"""
+  from (select license, {canon("text")} as canonical_sha256 from (values {values}) as v(license, text)) group by 1),
+d as (select doc_id, {canon("text")} as canonical_sha256, text from documents),
+lines as (select doc_id, {canon("line")} as canonical_sha256 from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line from documents) where regexp_matches(line, '{LINE}')),
+noted as (select doc_id, string_agg(distinct license, ',' order by license) as line_licenses from lines join known using (canonical_sha256) group by 1)
+select doc_id, d.canonical_sha256, license, coalesce(line_licenses, '') as line_licenses
+from d left join known using (canonical_sha256) left join noted using (doc_id)"""
 
 
 ORACLE = _sql()

@@ -26,3 +26,10 @@ def test_parts_and_awkward_texts_are_unknown(spark):
 def test_a_registry_table(spark):
     registry = licenses.digests(spark.createDataFrame([("ours", "Our Licence, v1")], "license string, text string")).select("license", "canonical_sha256")
     assert found(spark, ["our license v1", "x"], registry=registry) == {0: "ours", 1: None}
+
+
+def test_notices_on_their_own_line(spark):
+    texts = ["Some text.\nReleased under the MIT Licence.\nMore.\nLICENSED under the apache license version 2.0\nReleased under the MIT License.", "x Released under the MIT License.", None]
+    rows = [(i, t, "", "", 0, 0, "", "") for i, t in enumerate(texts)]
+    got = {r.doc_id: (r.license, r.line_licenses) for r in licenses.report(docs(spark, rows)).collect()}
+    assert got == {0: (None, "Apache-2.0 (line),MIT (line)"), 1: (None, ""), 2: (None, "")}
