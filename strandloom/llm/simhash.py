@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from . import similar
 from .components import roots
 from .shared import written
 from .textops import as_bytes
@@ -187,9 +188,13 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, tex
     return prints.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs, all columns, with only the smallest doc_id of each group of near-duplicates; null doc_ids stay."""
-    dropped = near_duplicates(docs, k, radius, text, doc_id).where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct()
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs, all columns, with only the smallest doc_id of each group of near-duplicates; null doc_ids stay.
+
+    Documents are linked by their fingerprints, as in near_duplicates, and by sets of five-word
+    shingles with a similarity of 0.8 or more (see similar.py), which fingerprints don't reach."""
+    close = near_duplicates(docs, text=text, doc_id=doc_id).where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    dropped = roots(close.union(similar.links(docs, text=text, doc_id=doc_id))).select(F.col("node").alias(doc_id))
     return docs.join(dropped.hint("merge"), doc_id, "left_anti").select(docs.columns)
 
 

@@ -3,7 +3,7 @@ import os
 import corpus_pipeline as p
 from strandloom.llm import quality
 
-from . import test_simhash
+from . import test_similar, test_simhash
 from .test_exact import want as exact_groups
 from strandloom.llm.decontaminate import brute_force
 
@@ -22,8 +22,10 @@ def test_stages_match_brute_force(spark):
     assert {r.doc_id for r in docs.collect()} == set(first) and docs.columns == documents.columns
     docs = p.STAGES[2][1](spark, docs, SF)
     ids = sorted(first)
-    group = test_simhash.components([test_simhash.fingerprint(first[i].text) for i in ids], ids)
-    lone = {i: first[i] for i, g in zip(ids, group, strict=True) if i == g}
+    sets = [test_similar.shingles(first[i].text) for i in ids]
+    linked = list(zip(ids, test_simhash.components([test_simhash.fingerprint(first[i].text) for i in ids], ids), strict=True))
+    linked += [(ids[i], ids[j]) for j in range(len(ids)) for i in range(j) if test_similar.close(sets[i], sets[j])]
+    lone = {i: first[i] for i, g in test_similar.joined(ids, linked).items() if i == g}
     assert {r.doc_id for r in docs.collect()} == set(lone) and docs.columns == documents.columns
     docs = p.STAGES[3][1](spark, docs, SF)
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
