@@ -12,10 +12,10 @@ the sets themselves, and every candidate is verified on the whole sets:
   the next, so that sets of similar sizes meet. At similarity t a range is free of differences
   with probability of about 1/e, so all ranges differ with one of about 0.0006.
 
-Of the sets with equal entries one, another for each entry, is the pivot, and the others are
-paired with it: a group of n copies gives at most 32 n pairs. Documents with equal sets are one
-node. A pair that is similar to each other, but meets only in entries whose pivot is similar to
-neither, is not linked.
+Of the sets with equal entries two, others for each entry, are pivots, and the rest are paired
+with them: a group of n copies gives fewer than 102 n pairs, most of them repeats. Documents with
+equal sets are one node. Two similar documents are linked if one of them is a pivot where they
+meet, or through others; in large groups of loosely similar documents a few may stay apart.
 
 Null doc_ids and texts without words are left out. Rows of one doc_id are one document. Extra
 columns are ignored; an empty table gives an empty result.
@@ -103,10 +103,12 @@ def links(docs: DataFrame, k: int = SHINGLE, t: float = SIMILARITY, text: str =
     nodes = written(index.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("entries").alias("entries")), "shingle_nodes")
     same = index.select("key", "doc_id").join(nodes.select("key", "node").hint("merge"), "key").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     entered = nodes.select("node", F.explode("entries").alias("entry"))
-    # the exclusive or with the entry puts the nodes of each entry in an order of its own
-    pivots = entered.groupBy("entry").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("node").bitwiseXOR(F.col("entry"))).alias("least")).where("n > 1")
-    pivots = written(pivots.select("entry", F.col("least").bitwiseXOR(F.col("entry")).alias("pivot")), "shingle_pivots")
-    pairs = entered.join(pivots.hint("merge"), "entry").where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+    # the exclusive or with the entry puts the nodes of each entry in an order of its own; both ends of it are pivots
+    order = F.col("node").bitwiseXOR(F.col("entry"))
+    ends = entered.groupBy("entry").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("least"), F.max(order).alias("most")).where("n > 1")
+    pivots = written(ends.select("entry", F.col("least").bitwiseXOR(F.col("entry")).alias("first"), F.col("most").bitwiseXOR(F.col("entry")).alias("last")), "shingle_pivots")
+    met = entered.join(pivots.hint("merge"), "entry").select("node", F.explode(F.array("first", "last")).alias("pivot")).where("node <> pivot")
+    pairs = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
     pairs = written(pairs.distinct(), "shingle_pairs")
     members = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     sets = written(_sets(rows.join(members.hint("merge"), "doc_id", "left_semi"), k), "shingle_sets")
