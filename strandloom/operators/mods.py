@@ -73,8 +73,8 @@ def serialise(groups: list[Group], with_ml: bool = True) -> tuple[str, list[int]
 
 def calls(reads: DataFrame, base: str, key: str = "doc_id") -> DataFrame:
     """key, pos (in the read), occ (number of that base before it) of every `base`: the relational form of a group."""
-    at = reads.select(key, F.posexplode(F.split(F.upper("seq"), "")).alias("pos", "b")).where(F.col("b") == base)
-    return at.withColumn("occ", F.row_number().over(Window.partitionBy(key).orderBy("pos")) - 1)
+    spots = F.filter(F.transform(F.split(F.upper("seq"), ""), lambda b, i: F.when(b == base, i)), lambda i: i.isNotNull())
+    return reads.select(key, F.posexplode(spots).alias("occ", "pos")).select(key, "pos", "occ")
 
 
 def windowed_calls(rows: DataFrame, reads: DataFrame, base: str, head: int, tail: int, key: str = "doc_id") -> DataFrame:
