@@ -81,7 +81,8 @@ def windowed_calls(rows: DataFrame, reads: DataFrame, base: str, head: int, tail
     """Calls (key, occ, ml) inside the read without `head` and `tail` bases, with new deltas."""
     n = F.length("seq")
     end = F.greatest(n - tail, F.lit(0))
-    count = lambda s: F.length(s) - F.length(F.replace(F.upper(s), F.lit(base), F.lit("")))
+    # never null, or the join below would filter by it first and so count twice, before the rows are dealt out
+    count = lambda s: F.coalesce(F.length(s) - F.length(F.replace(F.upper(s), F.lit(base), F.lit(""))), F.lit(0))
     bounds = reads.select(key, count(F.substring("seq", 1, head)).alias("before"), count(F.substring(F.col("seq"), F.lit(1), end)).alias("upto"))
     kept = rows.join(bounds, key).where((F.col("occ") >= F.col("before")) & (F.col("occ") < F.col("upto")))
     w = Window.partitionBy(key).orderBy("occ")
