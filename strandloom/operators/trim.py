@@ -91,7 +91,8 @@ def segments(reads: DataFrame, plan: TrimPlan, adapter_segments=None) -> DataFra
 
 def exploded(trimmed: DataFrame) -> DataFrame:
     """A row per segment: the read's columns (seq, qual cut), idx, total, s, e. idx counts produced segments."""
-    rows = trimmed.select("*", F.size("segs").alias("total"), F.posexplode("segs").alias("idx", "seg"))
+    # an inner explode would filter by the size of segs first and so compute them twice
+    rows = trimmed.select("*", F.size("segs").alias("total"), F.posexplode_outer("segs").alias("idx", "seg")).where("idx is not null")
     s, e = F.col("seg.s"), F.col("seg.e")
     cut = lambda c: F.substring(c, s + 1, e - s)
     kept = [c for c in trimmed.columns if c not in ("seq", "qual", "segs")]
