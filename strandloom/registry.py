@@ -44,7 +44,7 @@ def _segments_sql(body: str) -> str:
 
 
 def _rows(trimmed: DataFrame) -> DataFrame:
-    return trimmed.select("name", F.posexplode("segs").alias("idx", "g")).select("name", "idx", F.col("g.s").alias("s"), F.col("g.e").alias("e"))
+    return trimmed.select("name", F.posexplode_outer("segs").alias("idx", "g")).where("idx is not null").select("name", "idx", F.col("g.s").alias("s"), F.col("g.e").alias("e"))
 
 
 # ---- scan and read summaries ----
