@@ -128,14 +128,16 @@ class Tree:
 
 
 def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Give the ends of each pair the least label of their components, in place."""
+    """Give the ends of each pair the least label of their components, in place.
+
+    Only roots are hooked, so no node is ever cut from its old root; labels are flat before they are read."""
     while len(i):
-        low = np.minimum(label[i], label[j])
-        np.minimum.at(label, label[i], low)
-        np.minimum.at(label, label[j], low)
-        label[:] = label[label]
-        apart = label[i] != label[j]
-        i, j = i[apart], j[apart]
+        while not np.array_equal(flat := label[label], label):
+            label[:] = flat
+        a, b = label[i], label[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
 
 
 def forest(points: np.ndarray, radius: int = RADIUS, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:

@@ -59,6 +59,41 @@ def test_links_of_dense_and_sparse_fingerprints(spark):
         assert {by.get(x, x) for x in group} == {min(group)}
 
 
+def least_labels(n, i, j):
+    """The least node of each node's component, by union-find."""
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in zip(i.tolist(), j.tolist(), strict=True):
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [find(x) for x in range(n)]
+
+
+def test_merge_cuts_no_node_from_its_root():
+    i, j = np.array([(0, 5), (1, 2), (2, 3), (3, 4), (3, 7), (3, 8), (4, 5), (4, 6), (5, 6), (7, 8)]).T
+    label = np.arange(9)
+    simhash._merge(label, i, j)
+    assert label.tolist() == [0] * 9
+
+
+def test_forests_of_chains_match_union_find():
+    r = np.random.default_rng(12)
+    for n in [50] * 40 + [100] * 20 + [250] * 10:
+        points = [r.integers(0, 1 << 64, dtype=np.uint64)]
+        for _ in range(n - 1):
+            points.append(points[-1] ^ np.uint64(sum(1 << int(b) for b in r.choice(64, 3, replace=False))))
+        points = np.unique(np.array(points, np.uint64))
+        want = least_labels(len(points), *np.nonzero(np.bitwise_count(points[:, None] ^ points[None, :]) <= 3))
+        for leaf in (256, 20):
+            child, parent = (np.searchsorted(points, x) for x in simhash.forest(points, leaf=leaf))
+            assert len(child) == len(set(child.tolist())) and least_labels(len(points), child, parent) == want
+
+
 def test_chains_and_stars(spark):
     pairs = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     got = {r.node: r.root for r in roots(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
