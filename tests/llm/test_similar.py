@@ -58,6 +58,48 @@ def test_links_match_brute_force(spark):
     assert joined(range(len(rows)), got) == joined(range(len(rows)), want)
 
 
+def star(copies, edits, size, seed):
+    """A text of size words and copies of it, each with words changed at places of its own."""
+    r = random.Random(seed)
+    words = [f"w{i}" for i in range(size)]
+    texts, seen = [words], set()
+    while len(texts) <= copies:
+        places = tuple(sorted(edits(r)))
+        if places not in seen:
+            seen.add(places)
+            texts.append([f"c{len(texts)}" if i in places else w for i, w in enumerate(words)])
+    r.shuffle(texts)
+    return [(i, " ".join(t), "en", "s", 0, 0, "", "") for i, t in enumerate(texts)], [i for i, t in enumerate(texts) if t == words][0]
+
+
+def test_stars_whose_copies_are_only_similar_to_their_source(spark):
+    large = star(1000, lambda r: r.sample(range(5, 300, 5), 6), 304, 1)
+    small = star(150, lambda r: (r.randrange(4, 63), *r.choice([(0, 66), (1,), (65,)])), 67, 2)
+    for (rows, source), copies in ((large, 1000), (small, 150)):
+        sets = [shingles(r[1]) for r in rows]
+        assert len(rows) == copies + 1 and all(close(sets[source], s) for s in sets)
+        assert sum(close(sets[i], sets[j]) for i in range(0, 60) for j in range(i) if source not in (i, j)) < 30
+        got = [(r.a, r.b) for r in similar.links(docs(spark, rows), block=64).collect()]
+        assert all(close(sets[a], sets[b]) for a, b in got)
+        assert set(joined(range(len(rows)), got).values()) == {0}
+
+
+def test_compare_matches_brute_force():
+    r = np.random.default_rng(3)
+    for blocks in (1, 2):
+        sets = [np.unique(r.integers(0, 40, r.integers(1, 40))) for _ in range(150)]
+        sets += [s[r.random(len(s)) > 0.1] for s in sets[:100]]
+        sets = [s for s in sets if len(s)]
+        n = len(sets)
+        label, block, held = r.integers(0, n, n), r.integers(0, blocks, n), [set(s.tolist()) for s in sets]
+        pairs = [(i, j) for j in range(n) for i in range(j) if (blocks == 1 or block[i] != block[j]) and close(held[i], held[j])]
+        same = [(i, int(np.flatnonzero(label == label[i])[0])) for i in range(n)]
+        a, b = similar._compare(np.arange(n), label, block, sets, 0.8)
+        got = list(zip(map(int, a), b, strict=True))
+        assert {(min(x), max(x)) for x in got} <= set(pairs) and len(got) < n
+        assert joined(range(n), got + same) == joined(range(n), pairs + same)
+
+
 def test_keep_one_of_awkward_rows(spark):
     rows = [*corpus(), (None, "of the", "", "", 0, 0, "", "")]
     rows += [(1000 + r[0], *r[1:]) for r in edited()[:80]]
