@@ -12,6 +12,9 @@ weights, so no document is dropped; there are at most as many phases as sources.
 a source come from hash ranges (a count per range, then a row number inside it), so a source
 that holds most rows is spread over all tasks.
 
+Sources are at most `MOST_SOURCES`, as the driver lays out the schedule; an input with more
+raises ValueError and gives no rows, so such sources (domains, say) must be grouped first.
+
 A null source counts as the empty name. Sources without a weight get `default` parts. Rows
 with equal or null doc_id are all placed (ties by a hash of the text). Extra columns stay; the
 columns added are block, slot and position (slot x block size + place in the block, unique and
