@@ -194,11 +194,16 @@ def _judged(s: Shard, q: Phrases) -> tuple[np.ndarray, list[list]]:
     step = np.zeros(s.span + 1, np.int64)
     np.add.at(step, p, 1)
     np.add.at(step, p + q.lengths[w], -1)
+    return np.cumsum(step)[: s.span - 1] > 0, _items(s, q, w, p)
+
+
+def _items(s: Shard, q: Phrases, w: np.ndarray, p: np.ndarray) -> list[list]:
+    """By document, the items whose windows w occur at p."""
     items: list[list] = [[] for _ in s.n_words]
     pairs = np.unique(np.stack([np.searchsorted(s.ends, p, side="right"), q.items[w]]), axis=1)
     for d, i in pairs.T:
         items[d].append(q.item_ids[i])
-    return np.cumsum(step)[: s.span - 1] > 0, items
+    return items
 
 
 _REPORT = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items array<bigint>"
@@ -233,18 +238,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_items: int = MIN_ITEMS, text: str = "text") -> DataFrame:
-    """The rows of docs, all columns, in which fewer than min_items benchmark items occur."""
+    """The rows of docs, all columns, that hold no whole window of `window` benchmark words and fewer than min_items items.
+
+    One passage of a benchmark is enough to drop a document. An item of fewer words than a window (a
+    name, say) is no passage, so it only counts towards min_items, as in op10's `contaminated`."""
     blocks = [docs.sparkSession.sparkContext.broadcast(p) for p in phrase_blocks(benchmark, window)]
 
     def run(batches):
         for batch in batches:
             keep = []
             for _, _, s in _shards(batch, text):
-                items: list[set] = [set() for _ in s.n_words]
+                items, whole = [set() for _ in s.n_words], np.zeros(len(s.n_words), bool)
                 for shipped in blocks:
-                    for mine, more in zip(items, _judged(s, shipped.value)[1], strict=True):
+                    q = shipped.value
+                    w, p = s.matches(q)
+                    whole[np.searchsorted(s.ends, p[q.lengths[w] == window], side="right")] = True
+                    for mine, more in zip(items, _items(s, q, w, p), strict=True):
                         mine.update(more)
-                keep += [len(x) < min_items for x in items]
+                keep += [len(x) < min_items and not y for x, y in zip(items, whole, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
@@ -260,20 +271,23 @@ def digest_columns(report: DataFrame, min_items: int = MIN_ITEMS) -> DataFrame:
     return report.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(joined, 256).alias("items_sha256"), (F.col("n_items") >= min_items).alias("contaminated"))
 
 
-def brute_force(docs: list[tuple], items: list[tuple], window: int = WINDOW) -> list[tuple]:
-    """The same report by plain scanning, for tests."""
+def brute_words(text: str | None) -> list[str]:
     import re
 
-    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def brute_force(docs: list[tuple], items: list[tuple], window: int = WINDOW) -> list[tuple]:
+    """The same report by plain scanning, for tests."""
     wanted: dict[tuple, set] = {}
     for item, t in items:
-        w = words(t)
+        w = brute_words(t)
         for k in range(max(1, len(w) - window + 1) if w else 0):
             wanted.setdefault(tuple(w[k : k + window]), set()).add(item)
     sizes = {len(k) for k in wanted}
     out = []
     for doc, t in docs:
-        w, hit, found = words(t), set(), set()
+        w, hit, found = brute_words(t), set(), set()
         for n in sizes:
             for k in range(len(w) - n + 1):
                 if (got := wanted.get(tuple(w[k : k + n]))) is not None:
