@@ -154,9 +154,20 @@ def dedup_table(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 
 def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs, all columns, without the rows that have an equal text of smaller doc_id; null doc_ids stay."""
-    dropped = dedup_table(docs, text, doc_id).where("not kept and doc_id is not null").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(dropped.hint("merge"), doc_id, "left_anti").select(docs.columns)
+    """docs, all columns, with one row of each text: that of the smallest doc_id, or any of several with that doc_id.
+
+    Verdicts are by row (doc_id and digest), so rows of one doc_id with other texts are judged apart.
+    Rows without a doc_id come after all others: one of them stays if its text has no other row."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("bigint").alias("id"), F.sha2(normalised(F.col(text)), 256).alias("digest"))
+    pairs = dedup_table(docs, text, doc_id).groupBy("doc_id", "text_sha256").agg(F.first("keep_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+    # a row that loses, or that stands for several of one doc_id and text
+    pairs = written(pairs.where("not (doc_id <=> keep_id) or n > 1"), "pairs")
+    own = lambda df: (rows["id"].eqNullSafe(df["doc_id"])) & (rows["digest"] == df["text_sha256"])
+    kept = rows.join(pairs.hint("merge"), own(pairs), "left_anti")
+    again = pairs.where("doc_id <=> keep_id")
+    if not again.isEmpty():
+        kept = kept.union(rows.join(again.hint("merge"), own(again), "left_semi").dropDuplicates(["id", "digest"]))
+    return kept.select("row.*")
 
 
 ORACLE = r"""

@@ -191,13 +191,26 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, tex
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs, all columns, with only the smallest doc_id of each group of near-duplicates; null doc_ids stay.
+    """docs, all columns, with one row of each group of near-duplicates: that of the smallest doc_id.
 
     Documents are linked by their fingerprints, as in near_duplicates, and by sets of five-word
-    shingles with a similarity of 0.8 or more (see similar.py), which fingerprints don't reach."""
-    close = near_duplicates(docs, text=text, doc_id=doc_id).where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    dropped = roots(close.union(similar.links(docs, text=text, doc_id=doc_id))).select(F.col("node").alias(doc_id))
-    return docs.join(dropped.hint("merge"), doc_id, "left_anti").select(docs.columns)
+    shingles with a similarity of 0.8 or more (see similar.py), which fingerprints don't reach.
+    Rows are judged one by one, also those that share a doc_id. Rows without a doc_id come after all
+    others, and of rows with equal doc_id in a group any one stays."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
+    # doc_ids name rows if they are distinct; else the rows are numbered, in a table that holds the numbers fixed
+    if docs.groupBy(F.col(doc_id).alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 or id is null").isEmpty():
+        rows, named = rows.withColumn("node", F.col("id")), True
+    else:
+        rows, named = written(rows.withColumn("node", F.monotonically_increasing_id()), "numbered"), False
+    texts = rows.select("node", "text")
+    close = near_duplicates(texts, doc_id="node").where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    linked = roots(close.union(similar.links(texts, doc_id="node")))
+    if not named:
+        members = linked.union(linked.select("root", "root").distinct()).join(rows.select("node", "id").hint("merge"), "node")
+        first = members.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "node")).alias("first"))
+        linked = members.join(first, "root").where("node <> first.node")
+    return rows.join(linked.select("node").hint("merge"), "node", "left_anti").select("row.*")
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -41,3 +41,14 @@ def test_filter_has_no_false_negative():
         assert f.contains(keys).all()
         others = r.integers(1 << 63, (1 << 64) - 1, 50_000, dtype=np.uint64)
         assert f.contains(others).mean() < 0.001
+
+
+def test_stage_judges_rows(spark):
+    rows = [(1, "alpha beta gamma"), (5, "alpha  beta\ngamma"), (5, "a wholly different unique text"), (7, "T"), (7, "T"), (None, "T"), (None, "lone"), (None, "lone"), (8, None), (9, ""), (None, None)]
+    df = spark.createDataFrame([(*r, k, "d", "i", "r") for k, r in enumerate(rows)], "doc_id bigint, text string, n int, digest string, id string, row string")
+    got = exact.keep_first(df)
+    assert got.columns == df.columns
+    assert sorted([(r.doc_id, r.text) for r in got.collect()], key=repr) == sorted([(1, "alpha beta gamma"), (5, "a wholly different unique text"), (7, "T"), (None, "lone"), (8, None)], key=repr)
+    assert exact.keep_first(docs(spark, [])).count() == 0
+    awkward = exact.keep_first(docs(spark)).collect()
+    assert sorted((r.doc_id for r in awkward)) == sorted({r[0] for r in want(corpus()) if r[3]})

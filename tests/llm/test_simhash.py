@@ -104,3 +104,14 @@ def test_chains_and_stars(spark):
 def test_empty(spark):
     assert simhash.report(docs(spark, [])).count() == 0
     assert simhash.keep_one(docs(spark, [])).count() == 0
+
+
+def test_stage_judges_rows(spark):
+    words = [f"w{i}" for i in range(60)]
+    one, near, other = " ".join(words), " ".join([*words[:-1], "end"]), " ".join(reversed(words))
+    rows = [(1, one), (5, near), (5, other), (7, "T u v w x y"), (7, "T u v w x y"), (None, one), (None, "quite alone in this table of rows"), (8, None), (9, "")]
+    df = spark.createDataFrame([(*r, k, "n", "i", "r") for k, r in enumerate(rows)], "doc_id bigint, text string, n int, node string, id string, row string")
+    got = simhash.keep_one(df)
+    assert got.columns == df.columns
+    assert sorted([(r.doc_id, r.text) for r in got.collect()], key=repr) == sorted([(1, one), (5, other), (7, "T u v w x y"), (None, "quite alone in this table of rows"), (8, None)], key=repr)
+    assert sorted(r.doc_id for r in simhash.keep_one(df.where("doc_id in (1, 7)").dropDuplicates(["doc_id"])).collect()) == [1, 7]
