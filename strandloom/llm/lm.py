@@ -5,7 +5,7 @@ maximum likelihood. The mixture weights depend on how often the predecessor occu
 doubling frequency) and are learned by expectation-maximisation on deleted counts: each
 training token is held out of the counts that predict it (its own occurrence is subtracted).
 The E-step needs only the two ratios of a token's estimates, so the tokens are summed in a
-histogram of fixed size (half-octave bins), which alone goes to the driver.
+histogram of fixed size (half-octave bins, each with its mean ratios), which alone goes to the driver.
 
 Counts cover all training documents (crc32 of doc_id as text, modulo 5, is not 1). Words are
 identified by 64-bit hashes and bigrams by 48-bit ones; with 10^8 bigrams one in about three
@@ -94,19 +94,15 @@ def _half_octave(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, np.clip(np.floor(2 * np.log2(np.where(x > 0, x, 1))) + 100, 1, 199), 0).astype(np.int64)
 
 
-def _value(b: np.ndarray) -> np.ndarray:
-    return np.where(b > 0, 2.0 ** ((b - 99.5) / 2), 0.0)
-
-
-def weights(histogram: list[tuple[int, int, int, int]], n: int, v: int) -> np.ndarray:
-    """Mixture weights (uniform, unigram, bigram) by context level, from (level, unigram bin, bigram bin, tokens)."""
+def weights(histogram: list[tuple[int, float, float, int]], n: int, v: int) -> np.ndarray:
+    """Mixture weights (uniform, unigram, bigram) by context level, from (level, mean unigram count, mean bigram ratio, tokens)."""
     out = np.tile([0.1, 0.4, 0.5], (LEVELS, 1))
     out[0] = [0.2, 0.8, 0.0]
     if n < 2 or not histogram:
         out[:] = [1.0, 0.0, 0.0]
         return out
-    level, one, two, count = np.array(histogram, np.int64).T
-    parts = np.stack([np.full(len(level), 1 / (v + 1)), _value(one) / (n - 1), _value(two)], axis=1)
+    level, one, two, count = (np.array(x, kind) for x, kind in zip(zip(*histogram, strict=True), (np.int64, float, float, float), strict=True))
+    parts = np.stack([np.full(len(level), 1 / (v + 1)), one / (n - 1), two], axis=1)
     for _ in range(ROUNDS):
         share = out[level] * parts
         share *= (count / share.sum(axis=1))[:, None]
@@ -156,13 +152,13 @@ def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Model:
                 _, t, words, bigrams = _counted(row)
                 use = t.train
                 context = words[t.previous[use]] - 1
-                two = np.maximum(bigrams[t.bigram[use]] - 1, 0) / np.maximum(context, 1)
-                code = (_level(context) * 200 + _half_octave(words[t.word[use]] - 1)) * 200 + _half_octave(np.where(context > 0, two, 0))
-                code, count = np.unique(code, return_counts=True)
-                yield pa.RecordBatch.from_pydict({"code": pa.array(code, pa.int64()), "tokens": pa.array(count, pa.int64())})
+                one = words[t.word[use]] - 1
+                two = np.where(context > 0, np.maximum(bigrams[t.bigram[use]] - 1, 0) / np.maximum(context, 1), 0)
+                code, number, count = np.unique((_level(context) * 200 + _half_octave(one)) * 200 + _half_octave(two), return_inverse=True, return_counts=True)
+                yield pa.RecordBatch.from_pydict({"code": pa.array(code, pa.int64()), "tokens": pa.array(count, pa.int64()), "one": pa.array(np.bincount(number, one), pa.float64()), "two": pa.array(np.bincount(number, two), pa.float64())})
 
-    found = counted.mapInArrow(tally, "code bigint, tokens bigint").groupBy("code").agg(F.sum("tokens").alias("tokens")).collect()
-    histogram = [(r.code // 40000, r.code // 200 % 200, r.code % 200, r.tokens) for r in sorted(found)]
+    found = counted.mapInArrow(tally, "code bigint, tokens bigint, one double, two double").groupBy("code").agg(*(F.sum(c).alias(c) for c in ("tokens", "one", "two"))).collect()
+    histogram = [(r.code // 40000, r.one / r.tokens, r.two / r.tokens, r.tokens) for r in sorted(found)]
     return Model(counted, n, v, weights(histogram, n, v))
 
 

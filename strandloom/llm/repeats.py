@@ -6,9 +6,10 @@ of 13: for any two positions there is a shift below 13 that brings both to a cov
 So it is enough to hash runs of 20 - 12 = 8 words at positions that are 0, 1, 3 or 9 modulo 13
 (four in thirteen): any two equal windows share such an anchor at the same offset.
 
-1. Anchors are counted over all documents; most occur once and end there.
+1. Anchors (44 bits, more for tables above 16 GB) are counted over all documents; most occur once
+   and end there. An anchor that two runs share by chance only costs an extension.
 2. A window that holds a repeated anchor at a cover position is extended to its whole 20 words,
-   which are hashed (64 bits and an independent check of 32). Over all documents, the first
+   which are told apart by 96 bits (64, and 32 from words hashed by other values). Over all documents, the first
    document in which the window occurs becomes its owner.
 3. Every window that isn't its owner's first occurrence marks its words for removal.
 
@@ -30,21 +31,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .chunks import Chunk, answered, buckets_for, chunk_table, pack, pack_sorted, slices, unpack, unpack_sorted
-from .shared import written
-from .textops import SPACED, range_hashes, tokens
+from .shared import estimated_bytes, written
+from .textops import SPACED, run_hashes, tokens
 
 WINDOW = 20
 PERIOD = 13
 COVER = (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
 _LAST = (1 << 63) - 1
-_ANCHOR_MASK = np.uint64(~((1 << 20) - 1) & (1 << 64) - 1)
+#: least bits of an anchor, and bits beyond the logarithm of the table's bytes, which keep false repeats under one in a thousand
+_BITS, _SPARE = 44, 10
 
 
 class _Words:
     """The words of a chunk's documents in order of doc_id."""
 
-    def __init__(self, chunk: Chunk):
+    def __init__(self, chunk: Chunk, bits: int):
+        self.mask = np.uint64((1 << 64) - (1 << (64 - bits)))
         order = sorted(range(len(chunk.ids)), key=lambda i: _LAST if chunk.ids[i] is None else chunk.ids[i])
         self.ids, self.texts = [chunk.ids[i] for i in order], [chunk.texts[i] for i in order]
         self.hashes, self.counts = tokens(self.texts, SPACED, lower=False)
@@ -63,7 +66,7 @@ class _Words:
         long = self.counts[doc] >= WINDOW
         on_cover = np.isin((at - self.begin[doc]) % PERIOD, COVER)
         at = at[long & on_cover]
-        keys, number = np.unique(range_hashes(self.hashes, at, at + ANCHOR) & _ANCHOR_MASK, return_inverse=True)
+        keys, number = np.unique(run_hashes(self.hashes, ANCHOR)[at] & self.mask, return_inverse=True)
         return keys, number, at
 
     def candidates(self, number: np.ndarray, at: np.ndarray, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +81,7 @@ class _Words:
     def windows(self, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """64 and 32 bits of each window."""
         check, _ = tokens(self.texts, SPACED, lower=False, seed=2)
-        return range_hashes(self.hashes, start, start + WINDOW), range_hashes(check, start, start + WINDOW) >> np.uint64(32)
+        return run_hashes(self.hashes, WINDOW)[start], run_hashes(check, WINDOW)[start] >> np.uint64(32)
 
 
 def _distinct(key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,12 +139,13 @@ _ANSWER = "chunk bigint, kind int, bucket int, bits binary"
 def removals(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one space) of each row."""
     buckets = buckets_for(docs)
+    bits = min(64, max(_BITS, estimated_bytes(docs).bit_length() + _SPARE))
     chunks = chunk_table(docs, None, text, doc_id)
 
     def send_anchors(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                keys, number, _ = _Words(Chunk(row)).anchors()
+                keys, number, _ = _Words(Chunk(row), bits).anchors()
                 counts = np.minimum(np.bincount(number, minlength=len(keys)), 2).astype(np.uint64)
                 parts = list(slices(keys, buckets))
                 yield pa.RecordBatch.from_pydict({
@@ -155,7 +159,7 @@ def removals(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     def send_windows(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                words = _Words(Chunk(row))
+                words = _Words(Chunk(row), bits)
                 start, doc = _found_anchors(words, row["answers"] or [])
                 if not len(start):
                     continue
@@ -178,7 +182,7 @@ def removals(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     def remove(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                words = _Words(Chunk(row))
+                words = _Words(Chunk(row), bits)
                 answers = row["answers"] or []
                 start, _ = _found_anchors(words, answers)
                 key, check = words.windows(start)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import roots
 from .shared import written
-from .textops import SPACED, as_bytes, range_hashes, splitmix, tokens
+from .textops import SPACED, as_bytes, run_hashes, splitmix, tokens
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -51,8 +51,7 @@ def shingle_sets(texts: list[bytes], k: int = SHINGLE) -> list[np.ndarray]:
     out, at = [], 0
     for n in counts.tolist():
         words, at = hashes[at : at + n], at + n
-        starts = np.arange(max(n - k + 1, min(n, 1)))
-        out.append(np.unique(range_hashes(words, starts, starts + min(k, n))))
+        out.append(np.unique(run_hashes(words, min(k, n)) if n else words))
     return out
 
 

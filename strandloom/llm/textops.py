@@ -10,8 +10,10 @@ from collections.abc import Iterator
 
 import numpy as np
 
-_B = np.uint64(0x9E3779B97F4A7C15 | 1)
-_B_INV = np.uint64(pow(int(_B), -1, 1 << 64))
+#: positions in a word whose byte values are looked up; further ones are computed
+_TABLED = 64
+_POSITION = np.uint64(0x9E3779B97F4A7C15)
+_RUN = np.uint64(0xD6E8FEB86659FD93)
 
 ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[65:91] += 32
@@ -36,32 +38,37 @@ def splitmix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _byte_table(seed: int) -> np.ndarray:
-    return splitmix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(seed))
+def _byte_values(byte: np.ndarray, place: np.ndarray, seed: int) -> np.ndarray:
+    """A value for each byte at each place of a word."""
+    key = (place.astype(np.uint64) << np.uint64(8)) | byte.astype(np.uint64)
+    return splitmix(splitmix(key + np.uint64(seed * int(_RUN) % (1 << 64))) + _POSITION)
 
 
 _TABLES: dict[int, np.ndarray] = {}
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least n of each."""
-    if len(_POWERS[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        for k, base in enumerate((_B, _B_INV)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[k] = np.cumprod(steps)
-    return _POWERS[0], _POWERS[1]
+def _table(seed: int) -> np.ndarray:
+    if seed not in _TABLES:
+        at = np.arange(_TABLED << 8, dtype=np.int64)
+        _TABLES[seed] = _byte_values(at & 255, at >> 8, seed)
+    return _TABLES[seed]
 
 
-def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of values[s:e] for each pair, from one prefix sum; equal slices get equal hashes."""
-    up, down = _powers(len(values) + 1)
-    sums = np.empty(len(values) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    return splitmix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def run_hashes(values: np.ndarray, length: int) -> np.ndarray:
+    """Hash of each run of `length` values, by place of its first: runs of a power of two are put together from halves.
+
+    Each step mixes, so that no two orders of the same few values cancel out."""
+    out, done, size, power = None, 0, 1, values
+    if len(values) < length:
+        return np.zeros(0, np.uint64)
+    while done < length:
+        if length & size:
+            n = len(power) - done
+            out = power if out is None else splitmix(out[:n] * _RUN + power[done : done + n])
+            done += size
+        if done < length:
+            power, size = splitmix(power[:-size] * _RUN + power[size:]), 2 * size
+    return out[: len(values) - length + 1]
 
 
 def word_spans(raw: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,8 +80,30 @@ def word_spans(raw: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
-    table = _TABLES.setdefault(seed, _byte_table(seed))
-    return range_hashes(table[raw], starts, ends)
+    """64 bits of each word: the mixed sum of a pseudo-random value for every byte and its place.
+
+    Sums are modulo 2**64 but not of powers of a base, whose differences cancel for words such as
+    the Thue-Morse sequence and its complement. Seeds give independent values."""
+    lengths = ends - starts
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    kind = np.int32 if len(raw) < 1 << 31 else np.int64
+    step = np.zeros(len(raw), kind)
+    step[starts] = np.diff(starts, prepend=0)
+    place = np.arange(len(raw), dtype=kind) - np.cumsum(step, dtype=kind)
+    if lengths.max() > _TABLED:
+        far = np.concatenate([np.arange(a + _TABLED, b) for a, b in zip(starts[lengths > _TABLED].tolist(), ends[lengths > _TABLED].tolist(), strict=True)])
+        beyond = _byte_values(raw[far], place[far], seed)
+    # bytes between words get a value too, which no difference of sums holds
+    place = np.clip(place, 0, _TABLED - 1, out=place)
+    place <<= 8
+    place |= raw
+    values = _table(seed)[place]
+    if lengths.max() > _TABLED:
+        values[far] = beyond
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(values, out=sums[1:])
+    return splitmix(sums[ends] - sums[starts] + lengths.astype(np.uint64))
 
 
 def pieces(texts: list, most: int = 1 << 20) -> Iterator[tuple[int, int]]:

@@ -1,6 +1,7 @@
 from strandloom.llm import decontaminate as d
 
 from .helpers import corpus, docs
+from .test_repeats import thue_morse
 
 ITEMS = "item_id bigint, text string, doc_id string"
 
@@ -56,3 +57,12 @@ def test_blocks_and_empty_tables(spark, monkeypatch):
     assert sorted(map(tuple, d.digest_columns(d.contamination(docs(spark), bench)).collect())) == sorted(d.brute_force([r[:2] for r in rows], [i[:2] for i in items()]))
     assert d.contamination(docs(spark, []), bench).count() == 0
     assert d.contamination(docs(spark), bench.limit(0)).where("n_items > 0").count() == 0
+
+
+def test_words_that_polynomials_confuse(spark):
+    one, two = thue_morse()
+    seven = "a b c d e f g"
+    rows = [(1, f"{seven} {one} x"), (2, f"{seven} {two} x")]
+    bench = [(1, f"{seven} {one}"), (2, one)]
+    got = d.digest_columns(d.contamination(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(bench, "item_id bigint, text string")))
+    assert sorted(map(tuple, got.collect())) == d.brute_force(rows, bench)

@@ -7,6 +7,7 @@ import pytest
 from strandloom.llm import chunks, lm
 
 from .helpers import corpus, docs
+from .test_repeats import thue_morse
 
 
 def words(t):
@@ -51,3 +52,47 @@ def test_empty(spark):
     held = next(i for i in range(50) if zlib.crc32(str(i).encode()) % 5 == 1)
     row = lm.scored(lm.train(docs(spark, [(held, "a b", "", "", 0, 0, "", "")]))).first()
     assert (row.n_tokens, row.n_known, row.train_tokens, row.base_score) == (3, 0, 0, 0.0)
+
+
+def test_words_that_polynomials_confuse(spark):
+    one, two = thue_morse()
+    rows = [(i, f"{one} a {one} b" if i % 2 else f"{two} a c", "", "", 0, 0, "", "") for i in range(40)]
+    model = lm.train(docs(spark, rows))
+    got, want = sorted(map(tuple, lm.scored(model).collect())), sorted(brute(rows, model.mix))
+    for g, w in zip(got, want, strict=True):
+        assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:], rel=1e-9)
+
+
+def expected_mix(rows, rounds=lm.ROUNDS):
+    """Weights by level from expectation-maximisation over every training token, each taken out of its own counts."""
+    train = [words(r[1]) for r in rows if zlib.crc32(b"" if r[0] is None else str(r[0]).encode()) % 5 != 1]
+    c, b = Counter(x for t in train for x in t), Counter(p for t in train for p in zip(["\0", *t], t))
+    n, v = sum(c.values()), len(c)
+    parts = {}
+    for t in train:
+        for u, x in zip(["\0", *t], t):
+            k = c[u] - 1
+            level = int(math.log2(k)) + 1 if k else 0
+            parts.setdefault(level, []).append((1 / (v + 1), (c[x] - 1) / (n - 1), (b[u, x] - 1) / k if k else 0.0))
+    out = {}
+    for level, found in parts.items():
+        w = [0.1, 0.4, 0.5] if level else [0.2, 0.8, 0.0]
+        for _ in range(rounds):
+            mass = [0.0, 0.0, 0.0]
+            for p in found:
+                share = [a * q for a, q in zip(w, p, strict=True)]
+                for k in range(3):
+                    mass[k] += share[k] / sum(share)
+            w = [m / len(found) for m in mass]
+        out[level] = (w, len(found))
+    return out
+
+
+def test_weights_match_expectation_maximisation(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    model = lm.train(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    want = expected_mix(rows)
+    assert len(want) > 5
+    for level, (w, n) in want.items():
+        if n > 200:
+            assert model.mix[level] == pytest.approx(w, abs=0.03), level

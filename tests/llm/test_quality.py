@@ -37,3 +37,52 @@ def test_a_score_depends_on_its_text_alone(spark):
     texts = [(r[1] or "").encode() for r in corpus()]
     together, alone = model.margins(texts), np.concatenate([model.margins([t]) for t in texts])
     assert np.allclose(together, alone)
+
+
+def test_features_are_those_of_each_text():
+    texts = [(r[1] or "").encode() for r in corpus()]
+    doc, feature = quality.features(texts)
+    for i, t in enumerate(texts[:80]):
+        mine = feature[doc == i]
+        bigrams = {t[k] * 256 + t[k + 1] for k in range(len(t) - 1)}
+        # a text's last byte and the line end that closes it are no bigram of it
+        assert {x for x in mine.tolist() if x < 1 << 16} == bigrams | ({t[-1] * 256 + 10} if t else set())
+        assert sum(x >= 1 << 17 for x in mine.tolist()) <= len(set(t.split())) <= sum(x >= 1 << 17 for x in mine.tolist()) + 3
+        assert (sum(1 << 16 <= x < 1 << 17 for x in mine.tolist()) > 0) == bool(t.split())
+
+
+def test_weights_match_a_plain_solver(monkeypatch):
+    """Class log-count ratios counted in dictionaries; the hinge-loss dual by projected gradient over a dense table."""
+    r = np.random.default_rng(8)
+    n, size = 40, 25
+    rows = [np.flatnonzero(r.random(size) < 0.3) for _ in range(n)]
+    y = np.where(r.random(n) < 0.4, 1.0, -1.0)
+    cost = np.where(y > 0, 0.7, 0.4)
+    seen = {(k, c): 1 for k in range(size) for c in (0, 1)}
+    for x, label in zip(rows, y, strict=True):
+        for k in x.tolist():
+            seen[k, int(label > 0)] += 1
+    total = [int((y <= 0).sum()) + 2, int((y > 0).sum()) + 2]
+    ratio = np.array([np.log(seen[k, 1] / total[1]) - np.log(seen[k, 0] / total[0]) for k in range(size)])
+    table = np.zeros((n, size))
+    for i, x in enumerate(rows):
+        table[i, x] = ratio[x] / np.sqrt(max(len(x), 1))
+    q = (table @ table.T + 1) * y[:, None] * y[None, :]
+    alpha = np.zeros(n)
+    for _ in range(40_000):
+        alpha = np.clip(alpha - (q @ alpha - 1) / np.linalg.norm(q, 2), 0, cost)
+    monkeypatch.setattr(quality, "EPOCHS", 3000)
+    w, bias = quality._svm(rows, y, cost)
+    assert np.allclose(w[:size], (table.T @ (alpha * y)) * ratio, atol=2e-3) and abs(bias - (alpha * y).sum()) < 2e-3
+    assert not w[size:].any()
+
+
+def test_logistic_curve_is_the_likeliest():
+    r = np.random.default_rng(9)
+    margin = r.normal(size=400)
+    y = np.where(margin + r.normal(size=400) > 0.3, 1.0, -1.0)
+    a, b = quality._logistic(margin, y)
+    n1, n0 = (y > 0).sum(), (y <= 0).sum()
+    target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    loss = lambda a, b: np.sum(np.logaddexp(0, a * margin + b) - target * (a * margin + b))
+    assert all(loss(a, b) <= loss(a + da, b + db) for da in (-0.05, 0, 0.05) for db in (-0.05, 0, 0.05))

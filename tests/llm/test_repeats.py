@@ -44,3 +44,41 @@ def test_packing():
         x = np.sort(r.integers(0, top, 1000, dtype=np.uint64, endpoint=True))
         assert (chunks.unpack(chunks.pack(x)) == x).all() and (chunks.unpack_sorted(chunks.pack_sorted(x)) == x).all()
         assert sum(j - i for _, i, j in chunks.slices(x, 64)) == 1000
+
+
+def thue_morse(n=1024):
+    """Two words whose polynomial hashes modulo a power of two are equal for every odd base."""
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - x for x in bits]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+def test_words_that_polynomials_confuse(spark):
+    one, two = thue_morse()
+    same = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{same} {one}"), (2, f"{same} {two}"), (3, f"{same} {two} end"), (4, " ".join([one, two] * 15)), (5, " ".join([two, one] * 15))]
+    want = repeats.brute_force(rows)
+    got = repeats.removals(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in got) == sorted(want)
+    assert [r[2] for r in want[:3]] == [0, 0, 20]
+
+
+def test_hashes_of_words_and_runs():
+    import numpy as np
+    from strandloom.llm import textops
+
+    r = np.random.default_rng(6)
+    words = ["".join(r.choice(list("ab"), r.integers(1, 200))) for _ in range(300)] + ["é" * 90, "q" * 70000, "a", "b"]
+    words += words[::-1]
+    text = " ".join(words).encode()
+    for seed in (1, 2):
+        hashes, counts = textops.tokens([text, b"", text], textops.SPACED, lower=False, seed=seed)
+        assert counts.tolist() == [len(words), 0, len(words)] and dict(zip(words, hashes.tolist(), strict=False)) == dict(zip(words, hashes[len(words) :].tolist(), strict=True))
+        assert len(set(hashes.tolist())) == len(set(words))
+    values = textops.splitmix(r.integers(0, 3, 4000).astype(np.uint64))
+    for n in (1, 2, 3, 5, 7, 8, 20):
+        runs = textops.run_hashes(values, n)
+        seen = {tuple(values[i : i + n].tolist()): int(x) for i, x in enumerate(runs)}
+        assert len(runs) == 4001 - n and len(set(runs.tolist())) == len(seen) and all(seen[tuple(values[i : i + n].tolist())] == x for i, x in enumerate(runs.tolist()))
+    assert len(textops.run_hashes(values[:4], 5)) == 0

@@ -110,6 +110,7 @@ def test_keep_one_of_awkward_rows(spark):
     root = joined({i for i in ids if i is not None}, linked)
     kept = simhash.keep_one(docs(spark, rows))
     assert kept.columns == docs(spark, rows).columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(i for i in ids if i is not None and root[i] == i)
+    # of the repeated rows of a doc_id one stays
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({i for i in ids if i is not None and root[i] == i})
     assert kept.where("doc_id is null").count() == 1
     assert similar.links(docs(spark, [])).count() == 0
