@@ -61,3 +61,28 @@ def median_q(qual: pa.Array) -> pa.Array:
 
 def read_quality(qual: Column, mode: str = "mean") -> Column:
     return {"mean": mean_prob_q, "arith": mean_arith_q, "median": median_q}[mode](qual)
+
+
+def segment_quality(qual: Column, segs: Column, mode: str = "mean") -> Column:
+    """The quality of each segment (s, e) of a read, as an array."""
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def within(qual: pa.Array, segs: pa.Array) -> pa.Array:
+        raw, offsets = flat(qual)
+        q, out = phreds(raw), []
+        for at, found in zip(offsets[:-1].tolist(), segs.to_pylist(), strict=True):
+            out.append([_summary(q[at + g["s"] : at + g["e"]], mode) for g in found or ()])
+        return pa.array(out, pa.list_(pa.float64()))
+
+    return within(qual, segs)
+
+
+def _summary(q: np.ndarray, mode: str) -> float:
+    if not len(q):
+        return 0.0
+    if mode == "median":
+        return float(np.median(q))
+    # sums by reduceat, as for whole reads
+    if mode == "arith":
+        return float(np.add.reduceat(q.astype(np.float64), [0])[0] / len(q))
+    return float(-10 * np.log10(np.add.reduceat(PROBABILITY[q], [0])[0] / len(q)) + 0.0)

@@ -182,6 +182,26 @@ def assemble(n: int, lo: int, hi: int, cuts: Iterable[tuple[int, int]]) -> list[
     return out
 
 
+def interior(text: bytes, adapter: Adapter, plan: AdapterPlan) -> list[Hit]:
+    """Hits within the interior budget, on either strand, that lie in no end zone of the adapter; text is upper case."""
+    p = adapter.seq.upper().encode()
+    most = budgets(len(p), plan.error_rate)[1]
+    return [(s, e, c) for s, e, c in seeded(p, text, most) if c <= most and classify(s, e, len(text), adapter.end, plan.end_size) is None]
+
+
+def interior_hits(seq: Column, plan: AdapterPlan) -> Column:
+    """adapter (its number), s, e and cost of each interior hit of a read."""
+    kind = pa.list_(pa.struct([("adapter", pa.int32()), ("s", pa.int32()), ("e", pa.int32()), ("cost", pa.int32())]))
+
+    @F.arrow_udf("array<struct<adapter:int,s:int,e:int,cost:int>>")
+    def found(column: pa.Array) -> pa.Array:
+        texts = [(x or b"").upper() for x in column.cast(pa.large_binary()).to_pylist()]
+        able = [(i, a) for i, a in enumerate(plan.adapters) if len(a.seq) >= MIN_LENGTH]
+        return pa.array([[{"adapter": i, "s": s, "e": e, "cost": c} for i, a in able for s, e, c in sorted(interior(t, a, plan))] for t in texts], kind)
+
+    return found(seq)
+
+
 def segment_batch(texts: list[bytes], plan: AdapterPlan) -> list[list[tuple[int, int]]]:
     """Segments of each window after adapters are removed."""
     size = len(texts)
@@ -192,7 +212,7 @@ def segment_batch(texts: list[bytes], plan: AdapterPlan) -> list[list[tuple[int,
         p = a.seq.upper().encode()
         if len(p) < MIN_LENGTH:
             continue
-        k_end, k_mid = budgets(len(p), plan.error_rate)
+        k_end, _ = budgets(len(p), plan.error_rate)
         zone = plan.end_size + len(p) + k_end
         if a.end in ("5", "both") or plan.split:
             for r, hits in enumerate(batch_hits(p, [t[:zone] for t in texts], k_end, False)):
@@ -213,9 +233,7 @@ def segment_batch(texts: list[bytes], plan: AdapterPlan) -> list[list[tuple[int,
                         cuts[r].append((s + shift, e + shift))
         if plan.split:
             for r, t in enumerate(texts):
-                for s, e, c in seeded(p, t, k_mid):
-                    if c <= k_mid and classify(s, e, len(t), a.end, plan.end_size) is None:
-                        cuts[r].append((s, e))
+                cuts[r] += [(s, e) for s, e, _ in interior(t, a, plan)]
     return [assemble(len(t), lo[r], hi[r], cuts[r]) if t else [] for r, t in enumerate(texts)]
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.sequence import kmers, low_complexity
 from ..sources.catalog import MIN_LENGTH, Adapter
+from ..sources.shared import written
 from .adapters import end_costs, matrix, reverse_complement
 
 # Fixed values.
@@ -53,9 +54,20 @@ def top_kmers(reads: DataFrame, five: bool, k: int = K, top: int = TOP) -> DataF
 
 
 def stride_sample(windows: DataFrame, order: list[str], most: int = WINDOWS) -> DataFrame:
-    """Every step-th row in order, at most `most`; for the bounded sample of reads."""
-    step = max(1, math.ceil(windows.count() / most))
-    return windows.withColumn("_i", F.row_number().over(Window.orderBy(*order)) - 1).where(F.col("_i") % step == 0).drop("_i")
+    """Every step-th row in order, at most `most`.
+
+    Ranks come from sorted ranges of the table: rows before a range, then a row number within it."""
+    held = windows.repartitionByRange(*order).sortWithinPartitions(*order).select(F.struct("*").alias("row"), F.spark_partition_id().alias("part"))
+    held = written(held, "ranges")
+    sizes = {r.part: r["count"] for r in held.groupBy("part").count().collect()}  # a row per partition
+    step, before, starts = max(1, math.ceil(sum(sizes.values()) / most)), 0, []
+    for part in sorted(sizes):
+        starts.append((part, before))
+        before += sizes[part]
+    number = F.row_number().over(Window.partitionBy("part").orderBy(*(F.col(f"row.{c}") for c in order))) - 1
+    starts = held.sparkSession.createDataFrame(starts, "part int, before bigint")
+    ranked = held.withColumn("number", number).join(F.broadcast(starts), "part")
+    return ranked.where((F.col("before") + F.col("number")) % step == 0).select("row.*")
 
 
 def contains(patterns: list[str], windows: list[str], edits) -> np.ndarray:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..functions.quality import flat, phreds
 from ..functions.text import bam_segment_name, fastq_record, segment_name
-from ..operators import filters, tags as tag_rules, trim
+from ..operators import counters, filters, tags as tag_rules, trim
 from ..operators.adapters import adapter_segments
 from ..sources.ubam import TAG, _TAG, as_struct, from_struct
 from .model import Plan, selected_tags
@@ -27,26 +28,34 @@ def fastq_records(reads: DataFrame, plan: Plan) -> DataFrame:
     return rows.select(fastq_record(segment_name(F.col("name"), F.col("idx"), F.col("total")), F.col("seq"), F.col("qual")).alias("record"))
 
 
+def retagged(rows: DataFrame, update_moves: bool = False, selection: tuple | None = None) -> DataFrame:
+    """Segments (name, tags, s, e, total, and _seq and _qual of the whole read) with their tags rewritten in `out`.
+
+    With a selection, out is the tag block of a FASTQ header instead. The other columns stay."""
+    kept = [c for c in rows.columns if c not in ("_seq", "_qual", "tags")]
+
+    def run(batches):
+        for batch in batches:
+            raw, offsets = flat(batch.column("_qual"))
+            quals, new = phreds(raw), []
+            for r, a, b in zip(batch.select(["name", "_seq", "tags", "s", "e", "total"]).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                at = ([from_struct(t) for t in r["tags"] or ()], r["name"], r["_seq"], quals[a:b], r["s"], r["e"], r["total"])
+                new.append([as_struct(t) for t in tag_rules.rewrite(*at, update_moves)] if selection is None else tag_rules.fastq_tags(*at, selection))
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in kept} | {"out": pa.array(new, pa.list_(_TAG) if selection is None else pa.string())})
+
+    kinds = rows.select(*kept).schema.add("out", T.DataType.fromDDL(f"array<{TAG}>" if selection is None else "string"))
+    return rows.mapInArrow(run, kinds)
+
+
 def _tagged(reads: DataFrame, plan: Plan, kind: str) -> DataFrame:
-    selection = selected_tags(plan.fastq_tags)
     whole = reads.select("name", "flags", "seq", "qual", "tags", F.col("seq").alias("_seq"), F.col("qual").alias("_qual"))
     rows = filters.judged(trim.exploded(trimmed(whole, plan)), plan.filters).where("drop_reason is null")
+    return retagged(rows, plan.update_moves, None if kind == "bam" else selected_tags(plan.fastq_tags))
 
-    def run(batches):
-        for batch in batches:
-            new = []
-            for r in batch.select(["name", "_seq", "_qual", "tags", "s", "e", "total"]).to_pylist():
-                given = [from_struct(t) for t in r["tags"] or ()]
-                q = [c - 33 for c in r["_qual"].encode()]
-                if kind == "bam":
-                    new.append([as_struct(t) for t in tag_rules.rewrite(given, r["name"], r["_seq"], q, r["s"], r["e"], r["total"], plan.update_moves)])
-                else:
-                    new.append(tag_rules.fastq_tags(given, r["name"], r["_seq"], q, r["s"], r["e"], r["total"], selection))
-            kept = {c: batch.column(c) for c in ("name", "flags", "seq", "qual", "idx", "total")}
-            yield pa.RecordBatch.from_pydict(kept | {"out": pa.array(new, pa.list_(_TAG) if kind == "bam" else pa.string())})
-
-    out = f"array<{TAG}>" if kind == "bam" else "string"
-    return rows.mapInArrow(run, f"name string, flags int, seq string, qual string, idx int, total int, out {out}")
+
+def counted(reads: DataFrame, plan: Plan) -> DataFrame:
+    """The run's counters: one pass over the reads and one row."""
+    return counters.counters(filters.with_reasons(trimmed(reads, plan), plan.filters))
 
 
 def bam_records(reads: DataFrame, plan: Plan) -> DataFrame:

@@ -5,15 +5,19 @@ doc_id. Every query runs over the whole table."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .functions.quality import mean_arith_q, mean_prob_q, median_q
 from .functions.sequence import gc_fraction, kmers, reverse_complement
 from .functions.text import fastq_record, segment_name
 from .operators import adapters, counters, detect, filters, infer, mods, trim
-from .plans.model import AdapterPlan, FilterPlan, QualityOp, TrimPlan
+from .plans.model import AdapterPlan, FilterPlan, Plan, QualityOp, TrimPlan
+from .plans.run import bam_records, bam_to_fastq, counted, fastq_records, retagged, trimmed
 from .sources.catalog import CATALOG_ORACLE, Adapter, catalog, catalog_frame
+from .sources.folder import read_reads
 from .sources.reads import READS_SQL, doc_reads
+from .sources.shared import fresh
+from .sources.sinks import write_blocks
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -208,11 +212,7 @@ def _(spark, sf):
     return _judged(spark, sf, _SPLIT3, _RULES).groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _hard(spark, sf):
-    trimmed = trim.segments(doc_reads(spark, sf).withColumn("read", F.col("name")), TrimPlan(quality=QualityOp("split", 38, 2)))
-    return trimmed, filters.judged(trim.exploded(trimmed), FilterPlan(2, 400))
-
-
+_HARD_PLAN = Plan(TrimPlan(quality=QualityOp("split", 38, 2)), FilterPlan(2, 400))
 _HARD = _split_sql(2).replace("c >= '5'", "c >= 'G'") + ", judged as (select name, s, e, case when e - s < 2 then 'too_short' when e - s > 400 then 'too_long' end as drop_reason from segs)"
 
 
@@ -223,15 +223,12 @@ select (select count(*) from r) as input_reads, sum(o)::bigint as output_reads,
   (select count(*) from r where name not in (select name from b)) as reads_trimmed_to_nothing, count_if(o = 0)::bigint as reads_all_filtered, sum(sh)::bigint as segments_dropped_short, sum(lo)::bigint as segments_dropped_long,
   0::bigint as segments_dropped_low_qual, 0::bigint as segments_dropped_high_qual, 0::bigint as segments_dropped_gc from b"""))
 def _(spark, sf):
-    return counters.counters(*_hard(spark, sf))
+    return counted(doc_reads(spark, sf), _HARD_PLAN)
 
 
 @query("read_outcomes", _with(f"{_HARD}, b as (select name, count_if(drop_reason is null) as o from judged group by 1) select r.name, case when o is null then 'trimmed_to_nothing' when o = 0 then 'all_filtered' else 'with_output' end as outcome from reads r left join b using (name)"))
 def _(spark, sf):
-    trimmed = trim.segments(doc_reads(spark, sf), TrimPlan(quality=QualityOp("split", 38, 2)))
-    n = lambda g: g["e"] - g["s"]
-    reasons = F.transform("segs", lambda g: F.when(n(g) < 2, "too_short").when(n(g) > 400, "too_long"))
-    return counters.per_read(trimmed, reasons).select("name", "outcome")
+    return counters.per_read(filters.with_reasons(trimmed(doc_reads(spark, sf), _HARD_PLAN), _HARD_PLAN.filters)).select("name", "outcome")
 
 
 @query("fastq_render", _with(f"{_split_sql(3)} {_TOTALS} select '@' || {_NAMED} || chr(10) || substr(seq, (s + 1)::bigint, (e - s)::bigint) || chr(10) || '+' || chr(10) || substr(qual, (s + 1)::bigint, (e - s)::bigint) as record from counted join reads using (name) where e - s >= 20"))
@@ -277,9 +274,8 @@ def _(spark, sf):
 
 @query("adapter_exact_interior", _with(f"{_PLANTED} {_HITS} select name, s::int as s, e::int as e from hits where s > 20 and e < n - 20"))
 def _(spark, sf):
-    found = F.transform(F.sequence(F.lit(1), F.greatest(F.length("seq") - len(ADAPTER) + 1, F.lit(1))), lambda p: F.when(F.substring(F.col("seq"), p, F.lit(len(ADAPTER))).isin(ADAPTER, _RC), p))
-    hits = _planted(spark, sf).where(F.contains("seq", F.lit(ADAPTER)) | F.contains("seq", F.lit(_RC))).select("name", F.length("seq").alias("n"), F.explode(F.array_compact(found)).alias("p"))
-    return hits.select("name", (F.col("p") - 1).alias("s"), (F.col("p") + len(ADAPTER) - 1).alias("e"), "n").where("s > 20 and e < n - 20").drop("n")
+    hits = _planted(spark, sf).select("name", F.explode(adapters.interior_hits(F.col("seq"), SPLIT)).alias("h"))
+    return hits.select("name", "h.s", "h.e")
 
 
 _KINDS = """, kinds as (select *, case when s <= 20 and e >= n - 20 then 'excise' when s <= 20 then 'five' when e >= n - 20 then 'three' else 'cut' end as kind from hits),
@@ -379,11 +375,16 @@ def _(spark, sf):
     return catalog_frame(spark).select("name", "end", "seq")
 
 
-@query("folder_union", _with("select name, part, length(seq)::int as n from (select name, seq, (doc_id % 2)::int as part from reads)"))
+@query("folder_union", _with("select name, part, length(seq)::int as n from (select name, seq, (doc_id % 2)::int as part from reads) where seq <> ''"))
 def _(spark, sf):
-    r = doc_reads(spark, sf)
-    parts = [r.where(F.pmod("doc_id", F.lit(2)) == k).select("name", F.lit(k).cast("int").alias("part"), F.length("seq").alias("n")) for k in (0, 1)]
-    return parts[0].unionByName(parts[1])
+    # two writes to one folder of the shared space, read again as a folder of BGZF files
+    folder, r = fresh(spark, "folder"), doc_reads(spark, sf).withColumn("part", F.pmod("doc_id", F.lit(2)))
+    for k in (0, 1):
+        reads = r.where(F.col("part") == k).select(F.concat("name", F.lit(" "), F.col("part").cast("string")).alias("name"), "seq", "qual")
+        write_blocks(fastq_records(reads.where("seq <> ''"), Plan()), folder, "fastq", level=1)
+    kept = read_reads(spark, folder)[1]
+    head = F.split("name", " ")
+    return kept.select(head[0].alias("name"), head[1].cast("int").alias("part"), F.length("seq").alias("n"))
 
 
 # ---- modifications and tags ----
@@ -419,60 +420,124 @@ def _(spark, sf):
     return mods.reencoded(mods.windowed_calls(calls, reads, "C", 5, 7), "C+m")
 
 
+_KIND = "struct<tag:string,kind:string,i:bigint,f:float,s:string,ai:array<bigint>,af:array<float>>"
+
+
+def _tag(tag: str, kind: str, value: Column) -> Column:
+    place = "af" if kind == "B:f" else "ai" if kind[0] == "B" else "f" if kind == "f" else "i" if kind in "cCsSiI" else "s"
+    kinds = {"i": "bigint", "f": "float", "s": "string", "ai": "array<bigint>", "af": "array<float>"}
+    return F.struct(F.lit(tag).alias("tag"), F.lit(kind).alias("kind"), *((value if c == place else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()))
+
+
+def _bam(reads: DataFrame, *tags: Column) -> DataFrame:
+    """Unaligned BAM reads with these tags; without a tag where it is null."""
+    return reads.select("doc_id", "name", F.lit(4).alias("flags"), "seq", "qual", F.array_compact(F.array(*tags)).alias("tags"))
+
+
+def _got(tag: str, tags: str = "tags") -> Column:
+    return F.get(F.filter(tags, lambda t: t["tag"] == tag), 0)
+
+
+def _text(values: Column) -> Column:
+    return F.array_join(F.transform(values, lambda v: v.cast("string")), ",")
+
+
+def _doc() -> Column:
+    return F.regexp_replace("name", "^doc", "").cast("bigint")
+
+
 @query("kinetics_slice", _with("select name, array_to_string(list_transform(range(5, greatest(length(seq) - 7, 5)), lambda j: (doc_id + j) & 255), ',') as ip from reads where length(seq) > 12"))
 def _(spark, sf):
     ip = F.transform(F.sequence(F.lit(0), F.length("seq") - 1), lambda j: (F.col("doc_id") + j).bitwiseAND(255))
-    cut = doc_reads(spark, sf).where(F.length("seq") > 12).select("name", F.slice(ip, F.lit(6), F.length("seq") - 12).alias("ip"))
-    return cut.select("name", F.array_join(F.transform("ip", lambda v: v.cast("string")), ",").alias("ip"))
+    cut = bam_records(_bam(doc_reads(spark, sf).where("seq <> ''"), _tag("ip", "B:C", ip)), Plan(TrimPlan(5, 7)))
+    return cut.select("name", _text(_got("ip")["ai"]).alias("ip"))
+
+
+@query("mods_bam_window", _with(f"{_CALLS} {_WINDOW} select doc_id, 'C+m,' || string_agg(delta::int::varchar, ',' order by occ) || ';' as mm, string_agg(ml::varchar, ',' order by occ) as ml from kept group by 1"))
+def _(spark, sf):
+    spots = F.filter(F.transform(F.split(F.upper("seq"), ""), lambda b, i: F.when(b == "C", i)), lambda i: i.isNotNull())
+    called = F.filter(spots, lambda p, i: i % 3 == 0)
+    reads = doc_reads(spark, sf).where("seq <> ''").withColumn("called", called)
+    # every third C: a call, then two bases passed over before each further one
+    mm = F.concat(F.lit("C+m"), F.array_join(F.transform("called", lambda p, i: F.when(i == 0, ",0").otherwise(",2")), ""), F.lit(";"))
+    tags = _tag("MM", "Z", mm), _tag("ML", "B:C", F.transform("called", lambda p: F.pmod(p * 7, F.lit(256)))), _tag("MN", "i", F.length("seq"))
+    cut = bam_records(_bam(reads, *tags), Plan(TrimPlan(5, 7))).where(_got("MM").isNotNull())
+    return cut.select(_doc().alias("doc_id"), _got("MM")["s"].alias("mm"), _text(_got("ML")["ai"]).alias("ml"))
+
+
+def _moves(reads: DataFrame, *more: Column) -> DataFrame:
+    """Reads with move tables of stride 2: every base opens a block of 1, and one on an even position is followed by a 0."""
+    flags = F.flatten(F.transform(F.sequence(F.lit(0), F.length("seq") - 1), lambda p: F.when(p % 2 == 0, F.array(F.lit(1), F.lit(0))).otherwise(F.array(F.lit(1)))))
+    return _bam(reads, _tag("mv", "B:c", F.concat(F.array(F.lit(2)), flags)), _tag("ts", "i", F.col("doc_id") + 1000), *more)
 
 
-# moves: every base opens a block of 1, and a base on an even position is followed by a 0
-_ONE = "(2 * p - floor(p / 2)::bigint - (p % 2))"
+def _middle(reads: DataFrame, head: int, tail: int) -> DataFrame:
+    """The middle one of three segments of each read, with its tags in out."""
+    n = F.length("seq")
+    bounds = ((F.lit(0), F.lit(head)), (F.lit(head), n - tail), (n - tail, n))
+    segs = F.array(*(F.struct(a.cast("int").alias("s"), b.cast("int").alias("e")) for a, b in bounds))
+    whole = reads.where(n > head + tail).withColumns({"segs": segs, "_seq": F.col("seq"), "_qual": F.col("qual")})
+    return retagged(trim.exploded(whole).where("idx = 1"), update_moves=True)
 
 
-def _move_query(name: str, s: int, tail: int, total: int):
+def _move_sql(s: int, tail: int, total: int) -> str:
     """Segment [s, n - tail) of a read; block number of base p is p plus the even positions before it."""
+    return _with(f"""select name, first::bigint as first, (last - first)::bigint as blocks, {'(1000 + doc_id + first * 2)' if total == 1 else '0'}::bigint as ts, {'(1000 + doc_id + last * 2)' if total == 1 else '((last - first) * 2)'}::bigint as ns
+from (select name, doc_id, {s} + ceil({s} / 2.0)::bigint as first, (length(seq) - {tail}) + ceil((length(seq) - {tail}) / 2.0)::bigint as last from reads where length(seq) > {s + tail})""")
 
-    @query(name, _with(f"""select name, first::bigint as first, (last - first)::bigint as blocks, {'(1000 + doc_id + first * 2)' if total == 1 else '0'}::bigint as ts, {'(1000 + doc_id + last * 2)' if total == 1 else '((last - first) * 2)'}::bigint as ns
-from (select name, doc_id, {s} + ceil({s} / 2.0)::bigint as first, (length(seq) - {tail}) + ceil((length(seq) - {tail}) / 2.0)::bigint as last from reads where length(seq) > {s + tail})"""))
-    def _(spark, sf):
-        n = F.length("seq")
-        flags = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda p: F.when(p % 2 == 0, F.array(F.lit(1), F.lit(0))).otherwise(F.array(F.lit(1)))))
-        ones = F.filter(F.transform(F.col("mv"), lambda v, i: F.when(v == 1, i)), lambda i: i.isNotNull())
-        r = doc_reads(spark, sf).where(n > s + tail).select("name", "doc_id", n.alias("n"), flags.alias("mv")).select("name", "doc_id", "n", ones.alias("ones"), F.size("mv").alias("all"))
-        r = r.select("name", "doc_id", F.element_at("ones", s + 1).cast("bigint").alias("first"), F.when(F.col("n") - tail < F.col("n"), F.try_element_at("ones", F.col("n") - tail + 1)).otherwise(F.col("all")).cast("bigint").alias("last"))
-        start = F.lit(1000) + F.col("doc_id")
-        ts, ns = (start + F.col("first") * 2, start + F.col("last") * 2) if total == 1 else (F.lit(0), (F.col("last") - F.col("first")) * 2)
-        return r.select("name", "first", (F.col("last") - F.col("first")).alias("blocks"), ts.cast("bigint").alias("ts"), ns.cast("bigint").alias("ns"))
+
+@query("move_table_crop", _move_sql(5, 7, 1))
+def _(spark, sf):
+    cut = bam_records(_moves(doc_reads(spark, sf).where("seq <> ''")), Plan(TrimPlan(5, 7), update_moves=True))
+    first = ((_got("ts")["i"] - 1000 - _doc()) / 2).cast("bigint")
+    return cut.select("name", first.alias("first"), (F.size(_got("mv")["ai"]) - 1).cast("bigint").alias("blocks"), _got("ts")["i"].alias("ts"), _got("ns")["i"].alias("ns"))
+
+
+@query("move_table_split", _move_sql(4, 3, 3))
+def _(spark, sf):
+    got = lambda t: _got(t, "out")
+    cut = _middle(_moves(doc_reads(spark, sf).where("seq <> ''")), 4, 3)
+    return cut.select("name", (got("sp")["i"] / 2).cast("bigint").alias("first"), (F.size(got("mv")["ai"]) - 1).cast("bigint").alias("blocks"), got("ts")["i"].alias("ts"), got("ns")["i"].alias("ns"))
 
 
-_move_query("move_table_crop", 5, 7, 1)
-_move_query("move_table_split", 4, 3, 2)
+# the tail's anchor lies in the first 50 samples of the signal or, in every seventh read, is a sentinel; its end lies around the end of the window
+_POLYA = """select name, case when doc_id % 7 > 0 and a >= low and a < high and z <= high then concat_ws(',', a - low, a - low, z - low, -1, -1) end as pa, case when doc_id % 7 > 0 and a >= low and a < high and z <= high then 30::bigint end as pt
+from (select name, doc_id, 1000 + doc_id + doc_id % 50 as a, 1000 + doc_id + last * 2 - 1 + doc_id % 3 as z, 1000 + doc_id + 12 as low, 1000 + doc_id + last * 2 as high
+  from (select name, doc_id, (length(seq) - 3) + ceil((length(seq) - 3) / 2.0)::bigint as last from reads where length(seq) > 7))"""
 
 
-@query("polya_shift", _with("select name, case when a >= 10 and b < n - 7 then array_to_string([a - 5, b - 5], ',') end as pa from (select name, length(seq) as n, (doc_id % 50)::bigint as a, (length(seq) - doc_id % 20)::bigint as b from reads)"))
+@query("polya_split", _with(_POLYA))
 def _(spark, sf):
-    r = doc_reads(spark, sf).select("name", F.length("seq").alias("n"), F.array(F.pmod("doc_id", F.lit(50)), F.length("seq") - F.pmod("doc_id", F.lit(20))).alias("pa"))
-    inside = (F.element_at("pa", 1) >= 10) & (F.element_at("pa", 2) < F.col("n") - 7)
-    return r.select("name", F.when(inside, F.array_join(F.transform("pa", lambda v: (v - 5).cast("string")), ",")).alias("pa"))
+    n = F.length("seq")
+    last = (n - 3) + F.ceil((n - 3) / 2)
+    a, z = F.col("doc_id") + 1000 + F.pmod("doc_id", F.lit(50)), F.col("doc_id") + 999 + last * 2 + F.pmod("doc_id", F.lit(3))
+    none = F.lit(-1).cast("bigint")
+    pa = F.when(F.pmod("doc_id", F.lit(7)) == 0, F.array(none, none, none, none, none)).otherwise(F.array(a, a, z, none, none))
+    cut = _middle(_moves(doc_reads(spark, sf).where("seq <> ''"), _tag("pa", "B:i", pa), _tag("pt", "i", F.lit(30))), 4, 3)
+    return cut.select("name", _text(_got("pa", "out")["ai"]).alias("pa"), _got("pt", "out")["i"].alias("pt"))
 
 
-_TAGS = ("RG:Z:g", "mv:B:c", "bi:f:1", "st:Z:t", "qs:f:9", "ts:i:5", "MM:Z:C+m;")
+def _labelled(spark, sf) -> DataFrame:
+    """Reads with a read group, a move table, times, an empty group of modifications, and a pA scale on every other one."""
+    scale = F.when(F.pmod("doc_id", F.lit(2)) == 0, _tag("bi", "f", F.lit(1.0)))
+    text = lambda t, c: _tag(t, "Z", F.concat(F.lit(c), F.when(F.lit(t) == "RG", F.pmod("doc_id", F.lit(5))).otherwise(F.col("doc_id")).cast("string")))
+    tags = text("RG", "g"), _tag("mv", "B:c", F.array(F.lit(2), F.lit(1))), scale, text("st", "t"), _tag("ts", "i", F.col("doc_id")), _tag("MM", "Z", F.lit("C+m;")), _tag("MN", "i", F.length("seq"))
+    return _bam(doc_reads(spark, sf), *tags)
 
 
-@query("tag_drop", "select doc_id, 'RG:Z:g,st:Z:t,qs:f:9,MM:Z:C+m;' as tags from documents")
+@query("tag_drop", _with("select name, 'RG:Z:g' || doc_id % 5 || ',st:Z:t' || doc_id || ',MM:Z:C+m;,MN:i:' || (length(seq) - 12) as tags from reads where length(seq) > 12"))
 def _(spark, sf):
-    gone = ("mv", "ts", "ns", "sp", "pi", "pa", "pt", "bi")
-    tags = F.filter(F.array(*map(F.lit, _TAGS)), lambda t: ~F.substring(t, 1, 2).isin(*gone))
-    return doc_reads(spark, sf).select("doc_id", F.array_join(tags, ",").alias("tags"))
+    shown = F.transform("tags", lambda t: F.concat_ws(":", t["tag"], t["kind"], F.coalesce(t["s"], t["i"].cast("string"), t["f"].cast("string"), _text(t["ai"]))))
+    return bam_records(_labelled(spark, sf), Plan(TrimPlan(5, 7))).select("name", F.array_join(shown, ",").alias("tags"))
 
 
-@query("fastq_tag_select", "select doc_id, 'RG:Z:g' || chr(9) || 'MM:Z:C+m;' as tags from documents")
+@query("fastq_tag_select", _with("select '@' || name || chr(9) || 'RG:Z:g' || doc_id % 5 || chr(9) || 'MM:Z:C+m;' || chr(9) || 'MN:i:' || (length(seq) - 12) as head from reads where length(seq) > 12"))
 def _(spark, sf):
-    tags = F.filter(F.array(*map(F.lit, _TAGS)), lambda t: F.substring(t, 1, 2).isin("RG", "MM"))
-    return doc_reads(spark, sf).select("doc_id", F.array_join(tags, "\t").alias("tags"))
+    records = bam_to_fastq(_labelled(spark, sf), Plan(TrimPlan(5, 7), fastq_tags="RG,MM"))
+    return records.select(F.substring_index("record", "\n", 1).alias("head"))
 
 
-@query("qs_refresh", _with(f"select name, round(-10 * log10(list_avg(list_transform(string_split({_CUT}, ''), lambda c: power(10.0, -(ascii(c) - 33) / 10.0)))), 4) as qs from reads where length(seq) > 12"))
+@query("qs_refresh", _with(f"select name, round((-10 * log10(list_avg(list_transform(string_split({_CUT}, ''), lambda c: power(10.0, -(ascii(c) - 33) / 10.0)))))::float::double, 4) as qs from reads where length(seq) > 12"))
 def _(spark, sf):
-    return trim.exploded(trim.segments(doc_reads(spark, sf), TrimPlan(5, 7))).select("name", F.round(mean_prob_q("qual"), 4).alias("qs"))
+    cut = bam_records(_bam(doc_reads(spark, sf), _tag("qs", "f", F.lit(9.0))), Plan(TrimPlan(5, 7)))
+    return cut.select("name", F.round(_got("qs")["f"].cast("double"), 4).alias("qs"))

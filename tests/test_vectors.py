@@ -9,6 +9,7 @@ from strandloom.operators.filters import drop_reason, judged
 from strandloom.plans import model
 from strandloom.sources.catalog import Adapter, catalog, parse_fasta
 
+# Texts, cutoffs and results that are part of the behaviour to be matched.
 VECTORS = [
     ("&#3-G27C:(@G7B55+C4I", 20, [(4, 20)], [(10, 16)], [(4, 5), (6, 9), (10, 16), (17, 18), (19, 20)]),
     ("77%'24)FAF9@=94'%054", 7, [(0, 20)], [(0, 20)], [(0, 2), (4, 15), (17, 20)]),
@@ -137,6 +138,10 @@ def test_poly_a():
     assert cut(with_pa([20, 18, 24, -1, -1]), 2, 6)["pa"] == [20, 18, 24, -1, -1]
     got = cut(with_pa([20, 18, 24, -1, -1]), 3, 6, 2)
     assert got["pa"] == [2, 0, 6, -1, -1] and got["pt"] == 30
+    assert not {"pa", "pt"} & set(cut(with_pa([-1] * 5), 2, 6)) and not {"pa", "pt"} & set(cut(with_pa([-2, -1, -1, -1, -1]), 3, 6, 2))
+    assert not {"pa", "pt"} & set(cut([*SIGNAL, ("pa", "B:I", [20, 18, 24]), ("pt", "i", 30)], 2, 6))
+    # block values other than 0 count as one base
+    assert cut([("mv", "B:c", [2, 1, 2, 0, 1, -1, 0, 1, 1]), *SIGNAL[1:]], 2, 6)["mv"] == [2, 1, -1, 0, 1, 1]
     assert "pa" not in cut(with_pa([12, 10, 14, -1, -1]), 2, 6) and "pt" not in cut(with_pa([12, 10, 14, -1, -1]), 2, 6)
 
 
