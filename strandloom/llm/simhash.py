@@ -9,8 +9,13 @@ vantage-point tree down to small leaves in the same way and compares the pairs o
 Only the links of a spanning forest leave a shard, so a group of n copies gives under n links
 per shard, not n^2, and components of distinct fingerprints are found by star contraction.
 
-The tree above the shards is fitted to a bounded sample (`SAMPLE` distinct fingerprints, those
-with the least hash); every fingerprint is indexed, and the search is exact for any tree.
+The tree above the shards is fitted to a sample, the distinct fingerprints with the least hash:
+`SAMPLE`, or 16 for each shard if that is more. Shards and the points in them grow with the
+square root of the fingerprints. Every fingerprint is indexed, and the search is exact for any
+tree. Distances of unrelated fingerprints lie close together, so at radius 3 a split sends about a
+quarter of its points to both sides: of random fingerprints each is in about six shards up to
+some millions, and the number of shards a point is in then grows with that of shards to a power
+of about 0.4.
 
 Nulls and empty texts have fingerprint zero, linked like any other. Rows with equal doc_id are
 fingerprinted one by one. component_id ignores null doc_ids and is null if no other is
@@ -19,6 +24,8 @@ reachable. Extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -32,9 +39,13 @@ SHINGLE = 3
 RADIUS = 3
 SEED = 42
 SAMPLE = 16384
-SHARD = 2048
-LEAF = 256
+#: least points of a shard, and points of a shard for each root of their number
+SHARD = 16384
+PER_ROOT = 32
+LEAF = 1024
 _TRIES = 12
+#: points of a node to which a split is fitted
+_SEEN = 1024
 
 
 def fingerprint(text: bytes, k: int = SHINGLE) -> int:
@@ -72,16 +83,16 @@ def _distance(a: np.ndarray, b) -> np.ndarray:
 
 
 def choose(points: np.ndarray, radius: int, rng) -> tuple | None:
-    """The vantage point and boundary, of some tries, whose children together are smallest for their balance."""
-    best = None
-    for v in rng.choice(points, min(_TRIES, len(points)), replace=False):
-        upto = np.cumsum(np.bincount(_distance(points, v), minlength=65))
-        for mu in range(64):
-            inside = int(upto[mu])
-            outside = len(points) - int(upto[max(mu - radius, 0)] if mu >= radius else 0)
-            if inside < len(points) and (best is None or max(inside, outside) < best[0]):
-                best = (max(inside, outside), v, mu)
-    return best if best and best[0] < 0.9 * len(points) else None
+    """The vantage point and boundary, of some tries, whose larger child is smallest; None if no split helps."""
+    seen = points if len(points) <= _SEEN else points[rng.integers(0, len(points), _SEEN)]
+    tries = np.unique(seen[rng.integers(0, len(seen), _TRIES)])
+    at = np.bitwise_count(tries[:, None] ^ seen[None, :]).astype(np.int64) + 65 * np.arange(len(tries))[:, None]
+    upto = np.bincount(at.ravel(), minlength=65 * len(tries)).reshape(-1, 65).cumsum(axis=1)
+    outside = np.full((len(tries), 64), len(seen))
+    outside[:, radius:] -= upto[:, : 64 - radius]
+    larger = np.where(upto[:, :64] < len(seen), np.maximum(upto[:, :64], outside), len(seen))
+    k, mu = divmod(int(larger.argmin()), 64)
+    return (larger[k, mu], tries[k], mu) if larger[k, mu] < 0.9 * len(seen) else None
 
 
 def divide(points: np.ndarray, v, mu: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +107,8 @@ class Tree:
     def __init__(self, sample: np.ndarray, shards: int, radius: int):
         self.radius, self.nodes, self.shards = radius, [], 0
         rng = np.random.default_rng(7)
-        self._grow(sample, max(8, 2 * len(sample) // max(shards, 1)), rng)
+        # the children of a split hold more than their parent, so there are about twice as many shards
+        self._grow(sample, max(8, 4 * len(sample) // max(shards, 1)), rng)
 
     def _grow(self, sample: np.ndarray, cap: int, rng) -> int:
         here = len(self.nodes)
@@ -127,17 +139,44 @@ class Tree:
         return np.concatenate(shard), np.concatenate(point)
 
 
+def _find(label: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Roots of x, to which x points from then on."""
+    root = label[x]
+    while not np.array_equal(up := label[root], root):
+        root = up
+    label[x] = root
+    return root
+
+
 def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
     """Give the ends of each pair the least label of their components, in place.
 
-    Only roots are hooked, so no node is ever cut from its old root; labels are flat before they are read."""
+    Only roots are hooked, so no node is ever cut from its old root."""
+    ends = np.concatenate([i, j])
     while len(i):
-        while not np.array_equal(flat := label[label], label):
-            label[:] = flat
-        a, b = label[i], label[j]
+        a, b = _find(label, i), _find(label, j)
         apart = a != b
         i, j, a, b = i[apart], j[apart], a[apart], b[apart]
         np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+    _find(label, ends)
+
+
+def _compare(points: np.ndarray, at: np.ndarray, label: np.ndarray, radius: int, block: int = 128) -> None:
+    """Merge the labels of all linked pairs of some points, whose numbers are `at`.
+
+    Points that are one component already aren't compared with each other, so points too close
+    together for a split, whose first block links nearly all of them, take few comparisons each."""
+    for a in range(0, len(points), block):
+        mine = _find(label, at[a : a + block])
+        rest = np.arange(a, len(points))
+        if (mine == mine[0]).all():
+            rest = rest[_find(label, at[rest]) != mine[0]]
+        for b in range(0, len(rest), 1 << 16):
+            part = rest[b : b + (1 << 16)]
+            i, j = np.nonzero(np.bitwise_count(points[a : a + block, None] ^ points[None, part]) <= radius)
+            other = part[j] != a + i
+            if other.any():
+                _merge(label, at[a + i[other]], at[part[j[other]]])
 
 
 def forest(points: np.ndarray, radius: int = RADIUS, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
@@ -152,10 +191,8 @@ def forest(points: np.ndarray, radius: int = RADIUS, leaf: int = LEAF) -> tuple[
             inside, outside = divide(p, picked[1], picked[2], radius)
             todo += [at[inside], at[outside]]
             continue
-        for a in range(0, len(p), 128):
-            i, j = np.nonzero(np.bitwise_count(p[a : a + 128, None] ^ p[None, a:]) <= radius)
-            upper = i < j
-            _merge(label, at[a + i[upper]], at[a + j[upper]])
+        _compare(p, at, label, radius)
+    _find(label, np.arange(len(points)))
     child = np.flatnonzero(label != np.arange(len(points)))
     return points[child], points[label[child]]
 
@@ -164,9 +201,10 @@ def links(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFr
     """Links a, b between distinct fingerprints (column fp) that connect all within radius."""
     spark = prints.sparkSession
     prints = prints.distinct()
-    sample = np.array([r.fp for r in prints.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
     n = prints.count()
-    shipped = spark.sparkContext.broadcast(Tree(sample, max(64, n // shard), radius))
+    shards = max(64, math.ceil(n / max(shard, PER_ROOT * math.sqrt(n))))
+    sample = np.array([r.fp for r in prints.orderBy(F.xxhash64("fp"), "fp").limit(max(SAMPLE, 16 * shards)).collect()], np.int64).view(np.uint64)
+    shipped = spark.sparkContext.broadcast(Tree(sample, shards, radius))
 
     def route(batches):
         for batch in batches:
