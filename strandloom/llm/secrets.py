@@ -27,6 +27,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .shared import written
+
 # Patterns, in the order in which kinds are listed.
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -45,13 +47,22 @@ LENGTHS = (32, 64)
 LIMIT = 3.3
 ALPHA = 0.05
 BINS = 200
+#: matches of a text that are added up in one fold
+RUN = 128
 _SPANS = "array<struct<start:int,rank:int,end:int>>"
 
 
+def _named(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _found(text: Column, pattern: str, value: int | None = None) -> Column:
     """start, end, match and, for a group number, value of each leftmost non-overlapping match.
 
-    Spark has no positions of matches; they follow from the lengths of the pieces between."""
+    Spark has no positions of matches; they follow from the lengths of the pieces between. The
+    pieces are added up in runs of `RUN`, whose own lengths are added up then, as an array that
+    grows in a fold is copied at each step."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = matches if value is None else F.regexp_extract_all(text, F.lit(pattern), F.lit(value))
     between = F.split(text, pattern, -1)
@@ -64,7 +75,16 @@ def _found(text: Column, pattern: str, value: int | None = None) -> Column:
         return F.struct(end.alias("at"), F.when(x["1"].isNull(), state["rows"]).otherwise(F.concat(state["rows"], F.array(row))).alias("rows"))
 
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("rows"))
-    rows = F.aggregate(F.arrays_zip(between.alias("0"), matches.alias("1"), values.alias("2")), zero, step, lambda s: s["rows"])
+
+    def run_rows(pieces: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / RUN).cast("int"))
+        return F.transform(numbers, lambda k: F.aggregate(F.slice(pieces, k * RUN + 1, RUN), zero, step))
+
+    def placed(runs: Column) -> Column:
+        ends = F.aggregate(runs, F.array(F.lit(0)), lambda held, r: F.concat(held, F.array(F.element_at(held, -1) + r["at"])))
+        return _named(ends, lambda e: F.flatten(F.transform(runs, lambda r, k: F.transform(r["rows"], lambda x: F.struct((x["start"] + F.get(e, k)).alias("start"), (x["end"] + F.get(e, k)).alias("end"), x["match"].alias("match"), x["value"].alias("value"))))))
+
+    rows = _named(_named(F.arrays_zip(between.alias("0"), matches.alias("1"), values.alias("2")), run_rows), placed)
     return F.when(text.rlike(pattern), rows).otherwise(F.array().cast(kind))
 
 
@@ -75,45 +95,51 @@ def _upper_tail(z: Column) -> Column:
     return F.exp(-z * z / 2) * 0.3989422804014327 * poly
 
 
-def _named(value: Column, use) -> Column:
-    """use(value), with value computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+def _letters(enc: str) -> tuple[str, str]:
+    """For each character of an encoding's alphabet the letter of its cell, and whether it is in the upper half."""
+    alphabet, cells, _ = ENCODINGS[enc]
+    n = len(alphabet)
+    return "".join(chr(97 + i * cells // n) for i in range(n)), "".join("01"[2 * i >= n] for i in range(n))
 
 
 def _tested(token: Column) -> Column:
-    """enc, n and p of a token; p is 1 if a test rejects randomness."""
+    """enc, n and p of a token; p is 1 if a test rejects randomness.
+
+    Cells, halves and their changes are counted by replacing letters in strings, which the JVM does
+    in compiled loops; only the serial correlation folds over the characters."""
     # each step names what the next one uses, so that nothing is computed again for every character
     bare = F.regexp_replace(F.translate(token, "-_", "+/"), "=+$", "")
     encoding = lambda b: F.when(b.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(b.rlike("^[A-Z2-7]+$"), "base32").otherwise("base64")
-    pick = lambda enc, i: F.when(enc == "hex", F.lit(ENCODINGS["hex"][i])).when(enc == "base32", F.lit(ENCODINGS["base32"][i])).otherwise(F.lit(ENCODINGS["base64"][i]))
+    pick = lambda enc, of: F.when(enc == "hex", of("hex")).when(enc == "base32", of("base32")).otherwise(of("base64"))
+    count = lambda text, n, x: (n - F.length(F.replace(text, F.lit(x), F.lit("")))) / len(x)
 
     def encoded(b: Column) -> Column:
-        return F.struct(b.alias("bare"), encoding(b).alias("enc"))
-
-    def described(e: Column) -> Column:
-        enc = e["enc"]
-        return F.struct(enc.alias("enc"), pick(enc, 0).alias("alphabet"), pick(enc, 1).alias("cells"), pick(enc, 2).alias("shift"), F.when(enc == "hex", F.lower(e["bare"])).otherwise(e["bare"]).alias("shown"))
-
-    def numbered(d: Column) -> Column:
-        x = F.filter(F.transform(F.filter(F.split(d["shown"], ""), lambda c: c != ""), lambda c: F.instr(d["alphabet"], c) - 1), lambda v: v >= 0)
-        return F.struct(d["enc"].alias("enc"), d["cells"].alias("cells"), d["shift"].alias("shift"), F.length(d["alphabet"]).alias("size"), x.alias("x"))
-
-    total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, v: s + f(v))
-
-    def moments(s: Column) -> Column:
-        x = s["x"]
-        n = F.greatest(F.size(x), F.lit(1)).cast("double")
-        width = s["size"] / s["cells"]
-        cells = F.transform(F.sequence(F.lit(0), s["cells"] - 1), lambda j: F.size(F.filter(x, lambda v: F.floor(v / width) == j)).cast("double"))
-        pairs = F.arrays_zip(F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0))).alias("a"), F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0))).alias("b"))
-        half = s["size"] / 2
-        mean = total(x, lambda v: v) / n
+        return _named(encoding(b), lambda enc: F.struct(enc.alias("enc"), F.translate(F.when(enc == "hex", F.lower(b)).otherwise(b), "=", "").alias("shown")))
+
+    def lettered(e: Column) -> Column:
+        drawn = lambda k: pick(e["enc"], lambda enc: F.translate(e["shown"], ENCODINGS[enc][0], _letters(enc)[k]))
+        x = F.transform(F.slice(F.split(e["shown"], ""), 1, F.length(e["shown"])), lambda c: pick(e["enc"], lambda enc: F.instr(F.lit(ENCODINGS[enc][0]), c) - 1).cast("double"))
+        zero = F.struct(F.lit(-1.0).alias("last"), F.lit(-1.0).alias("first"), *(F.lit(0.0).alias(k) for k in ("sum", "square", "product")))
+
+        def step(s: Column, v: Column) -> Column:
+            begins = s["last"] < 0
+            product = s["product"] + F.when(begins, 0.0).otherwise(s["last"] * v)
+            return F.struct(v.alias("last"), F.when(begins, v).otherwise(s["first"]).alias("first"), (s["sum"] + v).alias("sum"), (s["square"] + v * v).alias("square"), product.alias("product"))
+
+        return F.struct(e["enc"].alias("enc"), F.length(e["shown"]).alias("n"), drawn(0).alias("cells"), drawn(1).alias("halves"), F.aggregate(x, zero, step).alias("s"))
+
+    def moments(t: Column) -> Column:
+        n = t["n"]
+        squares = lambda k: sum((F.pow(count(t["cells"], n, chr(97 + j)), F.lit(2.0)) for j in range(k)), F.lit(0.0))
+        many = F.greatest(n, F.lit(1)).cast("double")
+        k = pick(t["enc"], lambda enc: F.lit(float(ENCODINGS[enc][1])))
+        mean = t["s"]["sum"] / many
+        product = t["s"]["product"] - mean * (2 * t["s"]["sum"] - t["s"]["last"] - t["s"]["first"]) + (many - 1) * mean * mean
         return F.struct(
-            s["enc"].alias("enc"), F.size(x).alias("n"), s["cells"].cast("double").alias("k"), s["shift"].alias("shift"),
-            (total(cells, lambda c: c * c) * s["cells"] / n - n).alias("chi"),
-            total(x, lambda v: (v >= half).cast("double")).alias("high"),
-            (total(pairs, lambda p: ((p["a"] >= half) != (p["b"] >= half)).cast("double")) + 1).alias("runs"),
-            _named(mean, lambda m: total(pairs, lambda p: (p["a"] - m) * (p["b"] - m)) / F.greatest(total(x, lambda v: (v - m) * (v - m)), F.lit(1e-9))).alias("serial"),
+            t["enc"].alias("enc"), n.alias("n"), k.alias("k"), pick(t["enc"], lambda enc: F.lit(ENCODINGS[enc][2])).alias("shift"),
+            (pick(t["enc"], lambda enc: squares(ENCODINGS[enc][1])) * k / many - many).alias("chi"),
+            count(t["halves"], n, "1").alias("high"), (count(t["halves"], n, "01") + count(t["halves"], n, "10") + 1).alias("runs"),
+            (product / F.greatest(t["s"]["square"] - many * mean * mean, F.lit(1e-9))).alias("serial"),
         )
 
     def verdict(m: Column) -> Column:
@@ -128,7 +154,7 @@ def _tested(token: Column) -> Column:
         p = F.when((n < 2) | (z > LIMIT) | (text <= 0), F.lit(1.0)).otherwise(_upper_tail(F.greatest(text, F.lit(0.0))))
         return F.struct(m["enc"].alias("enc"), m["n"].alias("n"), p.alias("p"))
 
-    return _named(_named(_named(_named(_named(bare, encoded), described), numbered), moments), verdict)
+    return _named(_named(_named(_named(bare, encoded), lettered), moments), verdict)
 
 
 def _binned(p: Column) -> Column:
@@ -160,21 +186,24 @@ def thresholds(counts: list[tuple[str, int, int]], alpha: float = ALPHA) -> dict
 
 
 def scan(docs: DataFrame, alpha: float = ALPHA, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id and spans: an array of start, rank (of KINDS) and end, in order."""
+    """doc_id and spans: an array of start, rank (of KINDS) and end, in order.
+
+    Texts are scanned once; patterns and tested tokens are kept in a table until the step-up is known."""
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    counted = texts.select(F.explode(_tokens(F.col("text"))).alias("t")).groupBy("t.stratum", "t.bin").count()
-    least = thresholds([tuple(r) for r in counted.collect()], alpha)
 
     def spans(found: Column, kind: str) -> Column:
         return F.transform(found, lambda f: F.struct(f["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), f["end"].alias("end")))
 
     assign = spans(F.filter(_found(F.col("text"), ASSIGN, 2), lambda f: F.length(f["value"]) >= VALUE_LENGTH), "assign")
     base = F.concat(assign, spans(_found(F.col("text"), ACCESS), "access"), spans(_found(F.col("text"), HEX), "hex"))
+    found = written(texts.select("doc_id", F.array_sort(base).alias("base"), _tokens(F.col("text")).alias("tokens")), "tokens")
+    counted = found.select(F.explode("tokens").alias("t")).groupBy("t.stratum", "t.bin").count()
+    least = thresholds([tuple(r) for r in counted.collect()], alpha)
     passes = lambda t: reduce(lambda c, s: c | ((t["stratum"] == s) & (t["bin"] >= least[s])), sorted(least), F.lit(False))
-    random = spans(F.filter(_tokens(F.col("text")), passes), "random") if least else F.array().cast(_SPANS)
-    rows = texts.select("doc_id", base.alias("base"), random.alias("random"))
+    random = spans(F.filter("tokens", passes), "random") if least else F.array().cast(_SPANS)
+    rows = found.select("doc_id", "base", random.alias("random"))
     clear = F.filter("random", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    return rows.select("doc_id", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", clear)).alias("spans"))
+    return rows.select("doc_id", "base", F.array_sort(F.concat("base", clear)).alias("spans"))
 
 
 def report(docs: DataFrame) -> DataFrame:
