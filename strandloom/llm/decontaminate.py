@@ -2,28 +2,32 @@
 
 The corpus is indexed in shards of a few MB. A shard stores, for every training token, the
 sorted list of its positions (one term-major array of composite keys, so that a posting list
-is a slice). A benchmark phrase is looked up by taking the posting list of its rarest term in
-the shard, shifting it to phrase starts, and intersecting it with the offset-adjusted lists of
-the other terms in order of rising document frequency. With `slop` > 0 a term may be that many
-words off its place, which gives proximity matches.
+is a slice); the shards are a table in the shared folder. A benchmark phrase is looked up by
+taking the posting list of its rarest term in the shard, shifting it to phrase starts, and
+intersecting it with the offset-adjusted lists of the other terms in order of rising document
+frequency. With `slop` > 0 a term may be that many words off its place, which gives proximity
+matches. Terms are told apart by 64-bit hashes.
 
-Shards hold whole documents and are searched where they were built, so no posting is shuffled
-and a passage found in a third of all documents loads no task more than any other. Benchmark
-phrases are broadcast in blocks of at most `block_bytes` of text; further blocks are searched
-one after another against a stored index.
+Shards hold whole documents, so no posting is shuffled and a passage found in a third of all
+documents loads no task more than any other. Benchmark phrases are broadcast in blocks of at
+most `block_bytes` of text, and a task searches its shards for one block; where there are
+several, what they found in a shard is put together by shard.
 
 Nulls: a null text has no words; a null benchmark text has no phrase. Rows with equal or null
-doc_id are judged one by one. Extra columns are ignored (`decontaminate` passes them through).
-Empty tables give empty results; with no benchmark nothing is contaminated.
+doc_id are judged one by one, repeated rows alike. A longer text than a shard is a shard of its
+own. Extra columns are ignored (`decontaminate` passes them through). Empty tables give empty
+results; with no benchmark nothing is contaminated.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .shared import written
@@ -35,7 +39,10 @@ SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 32 << 20
 _CANDIDATES = 1 << 20
 
-INDEX_SCHEMA = "doc_ids array<bigint>, n_words binary, terms binary, bounds binary, postings binary"
+#: words that a term of a proximity match may be off its place
+SLOP = 1
+
+INDEX_SCHEMA = "shard bigint, doc_ids array<bigint>, n_words binary, terms binary, bounds binary, postings binary"
 
 
 class Phrases:
@@ -97,9 +104,7 @@ class Shard:
                     found_p.append(p)
         if not found_w:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        w, p = np.concatenate(found_w), np.concatenate(found_p)
-        inside = np.searchsorted(self.ends, p, side="right") == np.searchsorted(self.ends, p + phrases.lengths[w] - 1, side="right")
-        return w[inside], p[inside]
+        return np.concatenate(found_w), np.concatenate(found_p)
 
     def _intersect(self, ranks: np.ndarray, order: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
         rows = np.arange(len(ranks))
@@ -107,20 +112,24 @@ class Shard:
         size = self.bounds[head + 1] - self.bounds[head]
         w = np.repeat(rows, size)
         within = np.arange(len(w)) - np.repeat(np.cumsum(size) - size, size)
-        starts = self.postings[self.bounds[head][w] + within] - order[w, 0]
-        keep = (starts >= 0) & (starts + ranks.shape[1] < self.span)
-        w, starts = w[keep], starts[keep]
+        at = self.postings[self.bounds[head][w] + within]
+        starts = at - order[w, 0]
+        # a phrase and the words that are off their places lie in the document of its rarest term
+        doc = np.searchsorted(self.ends, at, side="right")
+        first, last = self.ends[doc] - self.n_words[doc], self.ends[doc] - 1
+        keep = (starts >= first) & (starts + ranks.shape[1] - 1 <= last)
+        w, starts, first, last = w[keep], starts[keep], first[keep], last[keep]
         for k in range(1, ranks.shape[1]):
             if not len(w):
                 break
             offset = order[w, k]
             base = ranks[w, offset] * self.span
             want = starts + offset
-            low = base + np.maximum(want - slop, 0)
-            high = base + np.minimum(want + slop, self.span - 1)
+            low = base + np.maximum(want - slop, first)
+            high = base + np.minimum(want + slop, last)
             at = np.searchsorted(self.keys, low)
             hit = (at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] <= high)
-            w, starts = w[hit], starts[hit]
+            w, starts, first, last = w[hit], starts[hit], first[hit], last[hit]
         return w, starts
 
 
@@ -131,23 +140,26 @@ def _shards(batch: pa.RecordBatch, text: str) -> Iterator[tuple[int, int, Shard]
 
 
 def build_index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per shard: doc ids, words per document, terms, and the bounds and positions of their postings."""
+    """One row per shard: its number, doc ids, words per document, terms, and the bounds and positions of their postings."""
 
     def build(batches):
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
+            ids = batch.column("doc_id")
             for a, b, s in _shards(batch, "text"):
                 yield pa.RecordBatch.from_pydict({
-                    "doc_ids": pa.array([ids[a:b]], pa.list_(pa.int64())), "n_words": [s.n_words.astype("<i8").tobytes()], "terms": [s.terms.astype("<u8").tobytes()],
-                    "bounds": [s.bounds.astype("<i4").tobytes()], "postings": [s.postings.astype("<i4").tobytes()],
+                    "shard": pa.array([number], pa.int64()), "doc_ids": pa.array([ids.slice(a, b - a).to_pylist()], pa.list_(pa.int64())), "n_words": [s.n_words.astype("<i8").tobytes()], "terms": [s.terms.astype("<u8").tobytes()],
+                    "bounds": [s.bounds.astype("<i8").tobytes()], "postings": [s.postings.astype("<i4" if s.span < 1 << 31 else "<i8").tobytes()],
                 })
+                number += 1
 
     return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(build, INDEX_SCHEMA)
 
 
 def _stored(row: dict) -> Shard:
-    read = lambda k, kind: np.frombuffer(row[k], kind)
-    return Shard(read("n_words", "<i8"), read("terms", "<u8"), read("bounds", "<i4").astype(np.int64), read("postings", "<i4").astype(np.int64))
+    read = lambda k, kind: np.frombuffer(row[k], kind).astype(np.int64)
+    n_words = read("n_words", "<i8")
+    return Shard(n_words, np.frombuffer(row["terms"], "<u8"), read("bounds", "<i8"), read("postings", "<i4" if n_words.sum() + 1 < 1 << 31 else "<i8"))
 
 
 def phrase_blocks(benchmark: DataFrame, window: int = WINDOW, text: str = "text", item_id: str = "item_id", block_bytes: int = BLOCK_BYTES) -> Iterator[Phrases]:
@@ -174,7 +186,8 @@ def phrase_matches(index: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         def search(batches, shipped=shipped):
             q = shipped.value
             for batch in batches:
-                for row in batch.to_pylist():
+                for k in range(batch.num_rows):
+                    row = batch.slice(k, 1).to_pylist()[0]
                     s = _stored(row)
                     w, p = s.matches(q, slop)
                     doc = np.searchsorted(s.ends, p, side="right")
@@ -188,15 +201,6 @@ def phrase_matches(index: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     return found
 
 
-def _judged(s: Shard, q: Phrases) -> tuple[np.ndarray, list[list]]:
-    """Hit flags of the shard's words and, by document, the items that occur."""
-    w, p = s.matches(q)
-    step = np.zeros(s.span + 1, np.int64)
-    np.add.at(step, p, 1)
-    np.add.at(step, p + q.lengths[w], -1)
-    return np.cumsum(step)[: s.span - 1] > 0, _items(s, q, w, p)
-
-
 def _items(s: Shard, q: Phrases, w: np.ndarray, p: np.ndarray) -> list[list]:
     """By document, the items whose windows w occur at p."""
     items: list[list] = [[] for _ in s.n_words]
@@ -206,35 +210,60 @@ def _items(s: Shard, q: Phrases, w: np.ndarray, p: np.ndarray) -> list[list]:
     return items
 
 
-_REPORT = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items array<bigint>"
+def _spans(p: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The union of the spans [p, e), as sorted spans that don't overlap; those that touch, as at the end of a document, stay apart."""
+    if not len(p):
+        return p, e
+    order = np.argsort(p, kind="stable")
+    p, e = p[order], np.maximum.accumulate(e[order])
+    new = np.concatenate([[True], p[1:] >= e[:-1]])
+    return p[new], e[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(e) - 1]])]
+
 
+#: what a search yields, and a row of the report
+_LISTS = "array<array<bigint>>"
+_FOUND = f"shard bigint, doc_ids array<bigint>, n_words binary, starts binary, ends binary, items {_LISTS}, near {_LISTS}"
+_REPORT = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items array<bigint>, near array<bigint>"
 
-def _report(batches, blocks):
+
+def _reported(rows: list[dict]) -> pa.RecordBatch:
+    """A row per document of a shard, from what each block of phrases found in it."""
+    n_words = np.frombuffer(rows[0]["n_words"], "<i8")
+    p, e = _spans(*(np.concatenate([np.frombuffer(r[k], "<i8") for r in rows]) for k in ("starts", "ends")))
+    last = np.cumsum(n_words)
+    hit = np.bincount(np.searchsorted(last, p, side="right"), e - p, minlength=len(n_words)).astype(np.int64)
+    joined = lambda k: [sorted({x for r in rows for x in r[k][d] if x is not None}, key=str) for d in range(len(n_words))]
+    items = joined("items")
+    lists = lambda x: pa.array(x, pa.list_(pa.int64()))
+    return pa.RecordBatch.from_pydict({"doc_id": pa.array(rows[0]["doc_ids"], pa.int64()), "n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(hit, pa.int64()), "n_items": pa.array([len(x) for x in items], pa.int64()), "items": lists(items), "near": lists(joined("near"))})
+
+
+def _search(batches, q: Phrases, slop: int) -> Iterator[dict]:
+    """What a block of phrases finds in each shard of the index."""
     for batch in batches:
-        ids = batch.column("doc_id")
-        for a, b, s in _shards(batch, "text"):
-            hit, items = np.zeros(s.span - 1, bool), [[] for _ in s.n_words]
-            for shipped in blocks:
-                more, found = _judged(s, shipped.value)
-                hit |= more
-                items = [x + y for x, y in zip(items, found, strict=True)]
-            total = np.concatenate([[0], np.cumsum(hit)])
-            items = [sorted({x for x in found if x is not None}, key=str) for found in items]
-            yield s, a, b, ids.slice(a, b - a), total[s.ends] - total[s.ends - s.n_words], items
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Per row of docs: doc_id, n_words, n_hit, n_items, and the sorted ids of the items that occur in it.
-
-    Few blocks are the rule (one holds tens of thousands of items); each executor keeps all of
-    them on its disk and reads them as it goes."""
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1).to_pylist()[0]
+            s = _stored(row)
+            w, p = s.matches(q)
+            starts, ends = _spans(p, p + q.lengths[w])
+            near = s.matches(q, slop) if slop else (w, p)
+            yield {"shard": row["shard"], "doc_ids": row["doc_ids"], "n_words": row["n_words"], "starts": starts.astype("<i8").tobytes(), "ends": ends.astype("<i8").tobytes(), "items": _items(s, q, w, p), "near": _items(s, q, *near)}
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Per row of docs: doc_id, n_words, n_hit, n_items, the sorted ids of the items that occur in it, and
+    in `near` of those with proximity matches (an exact match is one, too)."""
+    index = stored_index(docs, text, doc_id)
     blocks = [docs.sparkSession.sparkContext.broadcast(p) for p in phrase_blocks(benchmark, window)]
+    if len(blocks) == 1:
+        return index.mapInArrow(lambda batches, q=blocks[0]: (_reported([found]) for found in _search(batches, q.value, slop)), _REPORT)
+    kind = pa.schema([("shard", pa.int64()), ("doc_ids", pa.list_(pa.int64())), *((k, pa.binary()) for k in ("n_words", "starts", "ends")), *((k, pa.list_(pa.list_(pa.int64()))) for k in ("items", "near"))])
 
-    def run(batches):
-        for s, _, _, ids, n_hit, items in _report(batches, blocks):
-            yield pa.RecordBatch.from_pydict({"doc_id": ids, "n_words": pa.array(s.n_words, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()), "n_items": pa.array([len(x) for x in items], pa.int64()), "items": pa.array(items, pa.list_(pa.int64()))})
+    def part(shipped):
+        return index.mapInArrow(lambda batches: (pa.RecordBatch.from_pylist([found], kind) for found in _search(batches, shipped.value, slop)), _FOUND)
 
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, _REPORT)
+    found = reduce(DataFrame.union, map(part, blocks))
+    return found.groupBy("shard").applyInArrow(lambda table: pa.Table.from_batches([_reported(table.to_pylist())]), _REPORT)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_items: int = MIN_ITEMS, text: str = "text") -> DataFrame:
@@ -261,14 +290,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     return docs.mapInArrow(run, docs.schema)
 
 
-def stored_index(docs: DataFrame) -> DataFrame:
+def stored_index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The index as a table in the shared folder."""
-    return written(build_index(docs), "index")
+    return written(build_index(docs, text, doc_id), "index")
 
 
 def digest_columns(report: DataFrame, min_items: int = MIN_ITEMS) -> DataFrame:
     joined = F.array_join(F.transform("items", lambda x: x.cast("string")), ",")
-    return report.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(joined, 256).alias("items_sha256"), (F.col("n_items") >= min_items).alias("contaminated"))
+    return report.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(joined, 256).alias("items_sha256"), (F.col("n_items") >= min_items).alias("contaminated"), F.size("near").cast("bigint").alias("n_near"))
 
 
 def brute_words(text: str | None) -> list[str]:
