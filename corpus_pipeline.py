@@ -1,7 +1,10 @@
 """The corpus pipeline: quality, exact dedup, near-dedup, decontamination, mixing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as
-Parquet and read again as the next stage's docs. All but the last return docs' own columns."""
+Parquet and read again as the next stage's docs. All but the last return docs' own columns.
+
+Nulls, empty and very long texts, repeated rows and doc_ids, empty tables and further columns go
+through every stage: a null text counts as empty, a verdict is on a row and not on its doc_id."""
 
 from __future__ import annotations
 
@@ -16,12 +19,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of equal texts; rows without a doc_id stay."""
+    """One row of each text, that of the smallest doc_id; rows without a doc_id come last."""
     return exact.keep_first(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group."""
+    """One row of each group of near copies, that of the smallest doc_id; rows without a doc_id come last."""
     return simhash.keep_one(docs)
 
 

@@ -6,7 +6,8 @@ constant of this module, so its broadcast is bounded; a larger registry given as
 joined by an ordinary hash join.
 
 A null text counts as empty, whose digest belongs to no licence. Rows with equal or null doc_id
-are judged one by one; extra columns are ignored; an empty table gives an empty result.
+are judged one by one; texts of any length are hashed whole; of licences with equal digests the least name is
+given; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ identified by 64-bit hashes and bigrams by 48-bit ones; with 10^8 bigrams one in
 million shares its count with another.
 
 A null text is empty and has one token, the end. A null doc_id counts as empty text for the
-fold. Rows with equal doc_id are scored and counted one by one. Extra columns are ignored; an
+fold. Rows with equal doc_id are scored and counted one by one. A text longer than a chunk is a
+chunk of its own, scored whole. Extra columns are ignored; an
 empty table gives an empty result, and without training documents only the uniform part is left.
 """
 

@@ -16,7 +16,8 @@ Sources are at most `MOST_SOURCES`, as the driver lays out the schedule; an inpu
 raises ValueError and gives no rows, so such sources (domains, say) must be grouped first.
 
 A null source counts as the empty name. Sources without a weight get `default` parts. Rows
-with equal or null doc_id are all placed (ties by a hash of the text). Extra columns stay; the
+with equal or null doc_id are all placed (ties by a hash of the text); texts of any length are
+only carried along. Extra columns stay; the
 columns added are block, slot and position (slot x block size + place in the block, unique and
 increasing in mixing order), and they replace columns of the same name.
 """

@@ -12,7 +12,8 @@ used. Label, lang, source and doc_id are not features. All rows are scored over
 
 Nulls count as empty texts and are scored by the bias alone. Labels that are null or not 0/1
 are ignored; of several labels of a document the largest counts. With a single class the
-score is that class's share; with no label at all it is 0.5. Extra columns are ignored.
+score is that class's share; with no label at all it is 0.5. Repeated rows get the same score
+(of a repeated doc_id all rows with a label train the model); texts of any length are read whole. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -19,7 +19,7 @@ chunk and no pair of documents is ever formed.
 
 A null text has no words and is reported with zero words. Of rows with equal doc_id one counts
 as the earlier (by place in the table); null doc_ids come after all others. Windows never cross
-documents. Extra columns are ignored; an empty table gives an empty result.
+documents. A text longer than a chunk is a chunk of its own. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -2,33 +2,13 @@
 
 from __future__ import annotations
 
-import itertools
 import math
-import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-_serial = itertools.count()
+from ..sources.shared import shared_dir, written
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where that is unset, as in tests, a new one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='shared-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str, **options) -> DataFrame:
-    """df written as a Parquet table in the shared folder and read again; its lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}-{next(_serial)}"
-    df.write.options(**{"compression": "zstd", **options}).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["block_count", "checkpointed", "estimated_bytes", "shared_dir", "written"]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

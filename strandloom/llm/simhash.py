@@ -18,7 +18,7 @@ some millions, and the number of shards a point is in then grows with that of sh
 of about 0.4.
 
 Nulls and empty texts have fingerprint zero, linked like any other. Rows with equal doc_id are
-fingerprinted one by one. component_id ignores null doc_ids and is null if no other is
+fingerprinted one by one; texts of any length are read whole. component_id ignores null doc_ids and is null if no other is
 reachable. Extra columns are ignored; an empty table gives an empty result.
 """
 

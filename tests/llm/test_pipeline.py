@@ -4,6 +4,7 @@ import corpus_pipeline as p
 from strandloom.llm import quality
 
 from . import test_similar, test_simhash
+from .helpers import corpus, docs
 from .test_exact import want as exact_groups
 from .test_decontaminate import uncontaminated
 
@@ -35,3 +36,23 @@ def test_stages_match_brute_force(spark):
     last = p.run(spark, SF).collect()
     assert {r.doc_id for r in last} == clean and len({r.position for r in last}) == len(last)
     assert os.path.exists(p.__file__)
+
+
+def test_stages_take_awkward_rows(spark, tmp_path):
+    rows = [*corpus(), (None, "the of", None, None, 0, 0, "", ""), (3, "an own text under the doc_id of another row", "en", "src9", 0, 0, "", "")]
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, " ".join(rows[10][1].split()[:12])), (2, None), (3, "of")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    before = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in p.STAGES[1:4]:
+        after = stage(spark, before, str(tmp_path))
+        assert after.columns == before.columns, name
+        kept = [tuple(r) for r in after.collect()]
+        texts = {r[1] for r in kept}
+        assert any("an own text" in (t or "") for t in texts) and 0 < len(kept) < len(rows) + 1
+        before = after
+    last = p.run(spark, str(tmp_path)).collect()
+    assert len({r.position for r in last}) == len(last)
+    empty = docs(spark, [])
+    for _, stage in p.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
