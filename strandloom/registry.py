@@ -5,19 +5,25 @@ doc_id. Every query runs over the whole table."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .functions.quality import mean_arith_q, mean_prob_q, median_q
 from .functions.sequence import gc_fraction, kmers, reverse_complement
 from .functions.text import fastq_record, segment_name
 from .operators import adapters, counters, detect, filters, infer, mods, trim
+from .plans.entry import run
 from .plans.model import AdapterPlan, FilterPlan, Plan, QualityOp, TrimPlan
 from .plans.run import bam_records, bam_to_fastq, counted, fastq_records, retagged, trimmed
 from .sources.catalog import CATALOG_ORACLE, Adapter, catalog, catalog_frame
+from .sources.fastq import read_fastq_splits, write_fastq
 from .sources.folder import read_reads
+from .sources.formats import BAM, FASTQ_BGZF, FASTQ_GZ
 from .sources.reads import READS_SQL, doc_reads
 from .sources.shared import fresh
 from .sources.sinks import write_blocks
+from .streaming.run import read_stream, write_stream
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -541,3 +547,157 @@ def _(spark, sf):
 def _(spark, sf):
     cut = bam_records(_bam(doc_reads(spark, sf), _tag("qs", "f", F.lit(9.0))), Plan(TrimPlan(5, 7)))
     return cut.select("name", F.round(_got("qs")["f"].cast("double"), 4).alias("qs"))
+
+
+# ---- scans, sinks and whole runs, through files in the shared folder ----
+
+_SCANNED = _with("select name, md5(seq) as seq, md5(qual) as qual, length(seq)::int as n from reads where seq <> ''")
+
+
+def _digests(reads: DataFrame) -> DataFrame:
+    return reads.select("name", F.md5("seq").alias("seq"), F.md5("qual").alias("qual"), F.length("seq").alias("n"))
+
+
+@query("scan_fastq", _SCANNED)
+def _(spark, sf):
+    path = fresh(spark, "plain")
+    write_fastq(fastq_records(doc_reads(spark, sf), Plan()), path)
+    return _digests(read_fastq_splits(spark, path))
+
+
+@query("scan_fastq_gzip", _SCANNED)
+def _(spark, sf):
+    path = fresh(spark, "gzip")
+    write_fastq(fastq_records(doc_reads(spark, sf), Plan()), path, compression="gzip", level=1)
+    kind, reads, _ = read_reads(spark, path)
+    return _digests(reads.where(F.lit(kind == FASTQ_GZ)))
+
+
+def _bam_folder(spark, sf, reads: DataFrame) -> str:
+    path = fresh(spark, "bam")
+    write_blocks(reads.where("seq <> ''"), path, "bam", level=1, header="@HD\tVN:1.6\n@RG\tID:g\n@PG\tID:caller\tPN:caller\n")
+    return path
+
+
+def _scored(spark, sf) -> DataFrame:
+    """Reads with an integer, a float, a text and an array tag that vary by row."""
+    ip = F.transform(F.sequence(F.lit(0), F.length("seq") - 1), lambda j: F.col("doc_id") * 300 + j)
+    tags = _tag("RG", "Z", F.concat(F.lit("g"), F.pmod("doc_id", F.lit(5)).cast("string"))), _tag("ch", "i", -F.col("doc_id")), _tag("dx", "f", F.col("doc_id") / 4), _tag("zi", "B:I", ip)
+    return _bam(doc_reads(spark, sf).where("seq <> ''"), *tags)
+
+
+@query("scan_bam", _with("select name, 4::int as flags, md5(seq) as seq, md5(qual) as qual, 'g' || doc_id % 5 as rg, (-doc_id)::bigint as ch, (doc_id / 4)::double as dx, array_to_string(list_transform(range(length(seq)), lambda j: doc_id * 300 + j), ',') as zi from reads where seq <> ''"))
+def _(spark, sf):
+    reads = read_reads(spark, _bam_folder(spark, sf, _scored(spark, sf)))[1]
+    tags = _got("RG")["s"].alias("rg"), _got("ch")["i"].alias("ch"), _got("dx")["f"].cast("double").alias("dx"), _text(_got("zi")["ai"]).alias("zi")
+    return reads.select("name", "flags", F.md5("seq").alias("seq"), F.md5("qual").alias("qual"), *tags)
+
+
+_RUN_PLAN = Plan(_SPLIT3, FilterPlan(min_length=20))
+
+
+@query("run_bam_to_bam", _with(f"{_split_sql(3)} {_TOTALS} select {_NAMED} as name, md5(substr(seq, (s + 1)::bigint, (e - s)::bigint)) as seq, 'g' || doc_id % 5 as rg, 'caller,strandloom>caller' as programs from counted join reads using (name) where e - s >= 20"))
+def _(spark, sf):
+    out = fresh(spark, "run")
+    run(spark, _bam_folder(spark, sf, _scored(spark, sf)), out, _RUN_PLAN, output=BAM, level=1, command="query")
+    _, reads, header = read_reads(spark, out)
+    fields = [dict(f.split(":", 1) for f in x.split("\t")[1:]) for x in header.split("\n") if x.startswith("@PG")]
+    programs = ",".join(f["ID"] + (f">{f['PP']}" if "PP" in f else "") for f in fields)
+    return reads.select("name", F.md5("seq").alias("seq"), _got("RG")["s"].alias("rg"), F.lit(programs).alias("programs"))
+
+
+@query("run_bam_to_fastq", _with(f"{_split_sql(3)} {_TOTALS} select {_NAMED} || chr(9) || 'RG:Z:g' || doc_id % 5 as name, md5(substr(seq, (s + 1)::bigint, (e - s)::bigint)) as seq, md5(substr(qual, (s + 1)::bigint, (e - s)::bigint)) as qual, (e - s)::int as n from counted join reads using (name) where e - s >= 20"))
+def _(spark, sf):
+    out = fresh(spark, "run")
+    run(spark, _bam_folder(spark, sf, _scored(spark, sf)), out, replace(_RUN_PLAN, fastq_tags="RG"), output=FASTQ_BGZF, level=1)
+    return _digests(read_reads(spark, out)[1])
+
+
+@query("run_report", ORACLES["run_counters"])
+def _(spark, sf):
+    path = fresh(spark, "plain")
+    # an empty read has no FASTQ record, so it goes in as a read of one base that the plan trims to nothing
+    seq, qual = (F.when(F.col(c) == "", x).otherwise(F.col(c)).alias(c) for c, x in (("seq", "A"), ("qual", "!")))
+    write_fastq(fastq_records(doc_reads(spark, sf).select("name", seq, qual), Plan()), path)
+    found = run(spark, path, fresh(spark, "run"), _HARD_PLAN)
+    short = {c: found[c] for c in counters.NAMES}
+    empty = doc_reads(spark, sf).where("seq = ''").count()
+    return spark.createDataFrame([{**short, "input_bases": short["input_bases"] - empty}], ", ".join(f"{c} bigint" for c in counters.NAMES))
+
+
+@query("stream_render", ORACLES["fastq_render"])
+def _(spark, sf):
+    source, out = fresh(spark, "arrivals"), fresh(spark, "stream")
+    doc_reads(spark, sf).select("name", "seq", "qual").write.parquet(source)
+    write_stream(read_stream(spark, source), _RUN_PLAN, out, fresh(spark, "stream-state")).awaitTermination()
+    lines = read_fastq_splits(spark, out)
+    return lines.select(fastq_record(F.col("name"), F.col("seq"), F.col("qual")).alias("record"))
+
+
+# two groups of calls on the same strand's C: two codes a call on every third C, and on the complement of G on every second
+_GROUPS = """, c as (select doc_id, seq, pos, row_number() over (partition by doc_id order by pos) - 1 as occ from (select doc_id, seq, unnest(string_split(seq, '')) as b, unnest(range(length(seq))) as pos from reads) where b = 'C'),
+b as (select doc_id, count_if(pos < 5) as before, count_if(pos < length(seq) - 7) as upto from c group by doc_id, seq),
+k as (select doc_id, g, pos, occ, occ - coalesce(lag(occ) over (partition by doc_id, g order by occ), before - 1) - 1 as delta
+  from (select *, 1 as g from c where occ % 3 = 0 union all select *, 2 as g from c where occ % 2 = 0) join b using (doc_id) where occ >= before and occ < upto),
+s as (select doc_id, g, case g when 1 then 'C+mh?' else 'G-m.' end || string_agg(',' || delta::int, '' order by occ) || ';' as mm,
+  string_agg(case g when 1 then (pos * 7 % 256)::int || ',' || (pos * 5 % 256)::int else (pos * 3 % 256)::int::varchar end, ',' order by occ) as ml from k group by 1, 2)"""
+
+
+@query("mods_bam_groups", _with(f"{_GROUPS} select doc_id, string_agg(mm, '' order by g) as mm, string_agg(ml, ',' order by g) as ml, (select length(seq) - 12 from reads r where r.doc_id = s.doc_id)::bigint as mn from s group by doc_id"))
+def _(spark, sf):
+    spots = F.filter(F.transform(F.split(F.upper("seq"), ""), lambda b, i: F.when(b == "C", i)), lambda i: i.isNotNull())
+    every = lambda n: F.filter("spots", lambda p, i: i % n == 0)
+    deltas = lambda c, n: F.array_join(F.transform(c, lambda p, i: F.when(i == 0, ",0").otherwise(f",{n - 1}")), "")
+    level = lambda p, n: F.pmod(p * n, F.lit(256))
+    reads = doc_reads(spark, sf).where("seq <> ''").withColumn("spots", spots).withColumns({"two": every(3), "one": every(2)})
+    mm = F.concat(F.lit("C+mh?"), deltas("two", 3), F.lit(";G-m."), deltas("one", 2), F.lit(";"))
+    ml = F.concat(F.flatten(F.transform("two", lambda p: F.array(level(p, 7), level(p, 5)))), F.transform("one", lambda p: level(p, 3)))
+    tags = _tag("MM", "Z", mm), _tag("ML", "B:C", ml), _tag("MN", "i", F.length("seq"))
+    cut = bam_records(_bam(reads.where("size(spots) > 0"), *tags), Plan(TrimPlan(5, 7))).where("exists(tags, t -> t.tag = 'MM' and t.s <> '')")
+    return cut.select(_doc().alias("doc_id"), _got("MM")["s"].alias("mm"), _text(_got("ML")["ai"]).alias("ml"), _got("MN")["i"].alias("mn"))
+
+
+# ---- adapters that a sample shows, and hits within a budget of edits ----
+
+
+@query("adapters_present", _with(f"""{_PLANTED}, sample as (select p.seq from planted p join reads r using (name) order by r.doc_id limit 10000),
+size as (select count(*) as n from sample),
+act as (select a as adapter, (select count(*) from sample where contains(seq, p) or contains(seq, r)) as reads
+  from (values ('ab', '{ADAPTER}', '{_RC}'), ('none', 'ACACACACACACACACACACTTTTTTTTTTTT', 'AAAAAAAAAAAAGTGTGTGTGTGTGTGTGTGT')) as v(a, p, r)),
+found as (select * from act, size where reads >= greatest(3, n // 500))
+select adapter from act where (select n from size) < 100 or not exists (select 1 from found) or adapter in (select adapter from found)"""))
+def _(spark, sf):
+    plan = AdapterPlan((Adapter("ab", ADAPTER, "both"), Adapter("none", "ACACACACACACACACACACTTTTTTTTTTTT", "both")), error_rate=0.0, end_size=20, split=True)
+    kept = detect.present(detect.prefix_sample(_planted(spark, sf), 10_000, ["doc_id"]), plan)
+    return spark.createDataFrame([(a.name,) for a in kept], "adapter string")
+
+
+_DAMAGED = f""", damaged as (select name, case doc_id % 8 when 1 then substr(p, 1, j - 1) || substr(p, j + 1) || seq when 2 then substr(p, 1, j - 1) || 'A' || substr(p, j + 1) || seq
+  when 3 then substr(p, 1, j) || 'GT' || substr(p, j + 1) || seq when 4 then reverse(translate(substr(p, 1, j - 1) || substr(p, j + 1), 'ACGT', 'TGCA')) || seq when 5 then 'ACG' || p || seq else seq end as seq
+  from (select *, '{_BC01}' as p, doc_id % 20 + 2 as j from reads))"""
+# pieces of 20 to 28 bases are all that can lie within 4 edits of 24; cost and farthest start by end, then plateaus that are local minima
+_EDITS_SQL = f"""{_DAMAGED}, zone as (select name, length(seq) as n, substr(seq, 1, 48) as w from damaged where seq <> ''),
+strand as (select name, n, false as flip, w as t from zone union all select name, n, true, reverse(translate(w, 'ACGT', 'TGCA')) from zone),
+piece as (select name, n, flip, t, e, unnest(range(greatest(0, e - 28), e - 19)) as s from (select *, unnest(range(20, length(t) + 1)) as e from strand)),
+near as (select *, levenshtein(substr(t, s + 1, e - s), '{_BC01}') as d from piece),
+cost as (select name, n, flip, length(t) as w, e, min(d) as c, arg_min(s, d * 100 + s) as s from near where d <= 4 group by name, n, flip, t, e),
+edge as (select *, case when lag(e) over u = e - 1 and lag(c) over u = c then 0 else 1 end as new from cost window u as (partition by name, flip order by e)),
+flat as (select *, sum(new) over (partition by name, flip order by e) as f from edge),
+level as (select name, flip, f, min(e) as a, max(e) as b, any_value(c) as c from flat group by 1, 2, 3),
+low as (select l.name, l.flip, l.b from level l left join level p on p.name = l.name and p.flip = l.flip and p.b = l.a - 1 left join level q on q.name = l.name and q.flip = l.flip and q.a = l.b + 1
+  where coalesce(p.c, 9) > l.c and coalesce(q.c, 9) > l.c),
+hit as (select name, case when flip then w - e else s end as s, case when flip then w - s else e end as e from cost join low using (name, flip) where e = b)
+select z.name, coalesce(max(h.e), 0)::int as s, z.n::int as e from zone z left join hit h on z.name = h.name and h.s <= 20 group by z.name, z.n having coalesce(max(h.e), 0) < z.n"""
+
+
+@query("adapter_edits_five", _with(_EDITS_SQL))
+def _(spark, sf):
+    p, j = F.lit(_BC01), F.pmod("doc_id", F.lit(20)) + 2
+    head, after = F.substring(p, F.lit(1), j - 1), F.substring(p, j + 1, F.lit(99))
+    k = F.pmod("doc_id", F.lit(8))
+    fronts = (F.concat(head, after), F.concat(head, F.lit("A"), after), F.concat(F.substring(p, F.lit(1), j), F.lit("GT"), after), reverse_complement(F.concat(head, after)), F.concat(F.lit("ACG"), p))
+    front = F.coalesce(*(F.when(k == i, x) for i, x in enumerate(fronts, 1)), F.lit(""))
+    reads = doc_reads(spark, sf).select("name", F.concat(front, "seq").alias("seq"))
+    reads = reads.withColumn("qual", F.regexp_replace("seq", ".", "I"))
+    plan = AdapterPlan((Adapter("b", _BC01, "5"),), error_rate=0.2, end_size=20, split=False)
+    return _rows(trim.segments(reads, TrimPlan(), adapters.adapter_segments(plan))).select("name", "s", "e")
