@@ -8,7 +8,7 @@ features. Margins become probabilities by a logistic curve fitted to out-of-fold
 
 The classifier is fitted to at most `TRAIN_ROWS` labelled rows, those whose doc_id has the
 least hash; rows in the held-out fold (crc32 of doc_id as text, modulo 5, is 0) are never
-used. Label, lang, source and doc_id are not features. All rows are scored over whole texts.
+used. Executors turn them to features; the driver gets no text. Label, lang, source and doc_id are not features. All rows are scored over whole texts.
 
 Nulls count as empty texts and are scored by the bias alone. Labels that are null or not 0/1
 are ignored; of several labels of a document the largest counts. With a single class the
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .textops import SPACED, as_bytes, pieces, splitmix, word_hashes, word_spans
 
@@ -138,13 +138,12 @@ def _logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a, 1e-3)), float(b)
 
 
-def fit(texts: list[bytes], labels: np.ndarray) -> Model:
+def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
+    """rows: the distinct features of each document."""
     y = np.where(labels > 0, 1.0, -1.0)
     if not len(y) or len(set(y)) == 1:
         share = (np.sum(y > 0) + 1) / (len(y) + 2) if len(y) else 0.5
         return Model(np.zeros(_SIZE), 0.0, 1.0, float(np.log(share / (1 - share))))
-    doc, feature = features(texts)
-    rows = np.split(feature, np.searchsorted(doc, np.arange(1, len(texts))))
     cost = np.where(y > 0, len(y) / (2 * np.sum(y > 0)), len(y) / (2 * np.sum(y <= 0))) * COST
     part = np.arange(len(y)) % 3
     margin = np.zeros(len(y))
@@ -164,12 +163,23 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     marked = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
     picked = marked.groupBy("doc_id").agg(F.max(label).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     sample = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
-    got = sample.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(rows).toLocalIterator()
-    texts, marks = [], []
-    for r in got:
-        texts.append((r.text or "").encode())
-        marks.append(r.label)
-    return fit(texts, np.array(marks, np.int64))
+    order = F.xxhash64("doc_id").alias("hash"), F.col("doc_id"), F.xxhash64("text").alias("tie")
+    ranked = sample.select(F.struct(*order).alias("place"), "label", "text")
+
+    def run(batches):
+        for batch in batches:
+            texts = as_bytes(batch.column("text"))
+            doc, feature = features(texts)
+            ends = np.searchsorted(doc, np.arange(len(texts) + 1))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(feature, pa.int32()))
+            yield pa.RecordBatch.from_pydict({"place": batch.column("place"), "label": batch.column("label"), "features": lists})
+
+    kind = ranked.select("place", "label").schema.add("features", T.ArrayType(T.IntegerType()))
+    # at most 2 ** BITS features a row, however long its text
+    got = ranked.mapInArrow(run, kind).orderBy("place").limit(rows).select("label", "features").toArrow()
+    lists = got.column("features").combine_chunks()
+    found = [np.asarray(x.values, np.int64) for x in lists]
+    return fit(found, got.column("label").to_numpy().astype(np.int64))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
