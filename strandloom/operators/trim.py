@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.quality import PROBABILITY, phreds
+from ..functions.quality import PROBABILITY, flat, phreds
 from ..plans.model import QualityOp, TrimPlan
 
 SEGMENTS = "array<struct<s:int,e:int>>"
@@ -45,13 +45,18 @@ def best_segment(q: np.ndarray, cutoff: int) -> list[tuple[int, int]]:
     return [found] if found else []
 
 
-def quality_split(q: np.ndarray, cutoff: int, window: int) -> list[tuple[int, int]]:
-    """Runs of good bases, joined over fewer than `window` bad ones."""
+def split_bounds(q: np.ndarray, cutoff: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of good bases, joined over fewer than `window` bad ones."""
     good = np.flatnonzero(q >= cutoff)
     if not len(good):
-        return []
+        return good, good
     cut = np.flatnonzero(np.diff(good) > max(window, 1))
-    return list(zip(good[np.concatenate([[0], cut + 1])].tolist(), (good[np.concatenate([cut, [len(good) - 1]])] + 1).tolist(), strict=True))
+    return good[np.concatenate([[0], cut + 1])], good[np.concatenate([cut, [len(good) - 1]])] + 1
+
+
+def quality_split(q: np.ndarray, cutoff: int, window: int) -> list[tuple[int, int]]:
+    s, e = split_bounds(q, cutoff, window)
+    return list(zip(s.tolist(), e.tolist(), strict=True))
 
 
 def run_quality(q: np.ndarray, op: QualityOp) -> list[tuple[int, int]]:
@@ -60,18 +65,31 @@ def run_quality(q: np.ndarray, op: QualityOp) -> list[tuple[int, int]]:
     return best_segment(q, op.cutoff) if op.kind == "best" else quality_split(q, op.cutoff, op.window)
 
 
+def _bounds(q: np.ndarray, op: QualityOp) -> tuple[np.ndarray, np.ndarray]:
+    if op.kind == "split":
+        return split_bounds(q, op.cutoff, op.window)
+    found = np.array(run_quality(q, op), np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
+
+
 def quality_within(qual: Column, segments: Column, op: QualityOp) -> Column:
     """The quality operator inside each segment, in coordinates of the read."""
 
     @F.arrow_udf(SEGMENTS)
     def within(qual: pa.Array, segments: pa.Array) -> pa.Array:
-        out = []
-        for text, segs in zip(qual.cast(pa.large_binary()).to_pylist(), segments.to_pylist(), strict=True):
-            q, found = phreds(np.frombuffer(text or b"", np.uint8)), []
-            for g in segs or ():
-                found += [{"s": g["s"] + a, "e": g["s"] + b} for a, b in run_quality(q[g["s"] : g["e"]], op)]
-            out.append(found)
-        return pa.array(out, _ARROW)
+        # bounds stay NumPy arrays: a read may have hundreds
+        raw, offsets = flat(qual)
+        starts, ends, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [0]
+        for at, segs in zip(offsets[:-1].tolist(), segments, strict=True):
+            n = 0
+            for g in segs.as_py() or ():
+                s, e = _bounds(phreds(raw[at + g["s"] : at + g["e"]]), op)
+                starts.append((s + g["s"]).astype(np.int32))
+                ends.append((e + g["s"]).astype(np.int32))
+                n += len(s)
+            counts.append(n)
+        found = pa.StructArray.from_arrays([pa.array(np.concatenate(starts)), pa.array(np.concatenate(ends))], fields=list(_ARROW.value_type))
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(counts).astype(np.int32)), found)
 
     return within(qual, segments)
 
