@@ -127,8 +127,9 @@ def dedup(snapshot: DataFrame, batch: DataFrame, text: str = "text", doc_id: str
     texts = lambda df: df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     snapshot, batch = texts(snapshot), texts(batch)
     seen = written(digests(snapshot).withColumn("old", F.lit(True)).unionByName(digests(batch).withColumn("old", F.lit(False))), "digests")
-    grouped = lambda old: seen.where(F.col("old") == old).groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
-    old, new = grouped(True), grouped(False)
+    # read five times below: without the table each time would group anew, and each of a plan's stages costs the driver a buffer of spark.broadcast.blockSize
+    sides = written(seen.groupBy("old", "digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")), "groups")
+    old, new = (sides.where(F.col("old") == x).drop("old") for x in (True, False))
     buckets = max(64, math.ceil(seen.count() / BUCKET_KEYS))
     hits = screened(new, snapshot_filters(old, buckets), buckets).join(new, "digest").join(old.select("digest", F.col("keep_id").alias("old_id"), F.col("n").alias("old_n")), "digest")
     hits = written(hits, "hits")
@@ -139,7 +140,7 @@ def dedup(snapshot: DataFrame, batch: DataFrame, text: str = "text", doc_id: str
     same = bytes_of.groupBy("digest").agg((F.min("bytes") == F.max("bytes")).alias("same")).where("same").select("digest")
     unnamed = hits.where(F.col("keep_id").isNull() | F.col("old_id").isNull()).select("digest")
     merged = hits.join(same.union(unnamed).distinct(), "digest").select("digest", F.least("keep_id", "old_id").alias("both_id"), (F.col("n") + F.col("old_n")).alias("both_n"))
-    groups = old.withColumn("old", F.lit(True)).unionByName(new.withColumn("old", F.lit(False))).join(merged, "digest", "left")
+    groups = sides.join(merged, "digest", "left")
     groups = groups.select("digest", "old", F.coalesce("both_id", "keep_id").alias("keep_id"), F.coalesce("both_n", "n").alias("group_size"))
     out = seen.join(groups, ["digest", "old"])
     return out.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), F.col("digest").alias("text_sha256"))

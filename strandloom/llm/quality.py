@@ -8,7 +8,7 @@ features. Margins become probabilities by a logistic curve fitted to out-of-fold
 
 The classifier is fitted to at most `TRAIN_ROWS` labelled rows, those whose doc_id has the
 least hash; rows in the held-out fold (crc32 of doc_id as text, modulo 5, is 0) are never
-used. Executors turn them to features; the driver gets no text. Label, lang, source and doc_id are not features. All rows are scored over whole texts.
+used. Executors turn them to features and one task fits the model; the driver gets its weights alone. Label, lang, source and doc_id are not features. All rows are scored over whole texts.
 
 Nulls count as empty texts and are scored by the bias alone. Labels that are null or not 0/1
 are ignored; of several labels of a document the largest counts. With a single class the
@@ -174,12 +174,22 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(feature, pa.int32()))
             yield pa.RecordBatch.from_pydict({"place": batch.column("place"), "label": batch.column("label"), "features": lists})
 
+    def fitted(batches):
+        found, marks = [], []
+        for batch in batches:
+            lists = batch.column("features")
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            found += [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            marks.append(batch.column("label").to_numpy())
+        model = fit(found, np.concatenate(marks).astype(np.int64) if marks else np.zeros(0, np.int64))
+        yield pa.RecordBatch.from_pylist([{"weights": model.weights.tobytes(), "bias": float(model.bias), "slope": model.slope, "shift": model.shift}])
+
     kind = ranked.select("place", "label").schema.add("features", T.ArrayType(T.IntegerType()))
-    # at most 2 ** BITS features a row, however long its text
-    got = ranked.mapInArrow(run, kind).orderBy("place").limit(rows).select("label", "features").toArrow()
-    lists = got.column("features").combine_chunks()
-    found = [np.asarray(x.values, np.int64) for x in lists]
-    return fit(found, got.column("label").to_numpy().astype(np.int64))
+    # at most 2 ** BITS features a row, however long its text; one task fits the model, and the driver gets its weights alone
+    got = ranked.mapInArrow(run, kind).orderBy("place").limit(rows).select("label", "features").mapInArrow(fitted, "weights binary, bias double, slope double, shift double").collect()
+    if not got:  # no row at all, not even a task
+        return fit([], np.zeros(0))
+    return Model(np.frombuffer(got[0].weights, np.float32), got[0].bias, got[0].slope, got[0].shift)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

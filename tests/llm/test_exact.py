@@ -52,3 +52,9 @@ def test_stage_judges_rows(spark):
     assert exact.keep_first(docs(spark, [])).count() == 0
     awkward = exact.keep_first(docs(spark)).collect()
     assert sorted((r.doc_id for r in awkward)) == sorted({r[0] for r in want(corpus()) if r[3]})
+
+
+def test_digests_are_grouped_once(spark):
+    """The two aggregates left in the plan are those of the byte check."""
+    out = exact.dedup(docs(spark), docs(spark))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2

@@ -1,3 +1,4 @@
+import os
 import zlib
 
 import numpy as np
@@ -86,3 +87,15 @@ def test_logistic_curve_is_the_likeliest():
     target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     loss = lambda a, b: np.sum(np.logaddexp(0, a * margin + b) - target * (a * margin + b))
     assert all(loss(a, b) <= loss(a + da, b + db) for da in (-0.05, 0, 0.05) for db in (-0.05, 0, 0.05))
+
+
+def test_a_task_fits_the_model(spark, monkeypatch):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id bigint, quality int")
+    got = quality.train(docs(spark), labels)
+    picked = {i for i in range(50) if zlib.crc32(str(i).encode()) % 5}
+    rows = docs(spark).where("doc_id is not null").selectExpr("doc_id", "text", "xxhash64(doc_id) as hash", "xxhash64(text) as tie").collect()
+    rows = sorted((r for r in rows if r.doc_id in picked), key=lambda r: (r.hash, r.doc_id, r.tie))
+    want = quality.fit([quality.features([(r.text or "").encode()])[1] for r in rows], np.array([r.doc_id % 2 for r in rows]))
+    assert np.array_equal(got.weights, want.weights) and (got.bias, got.slope, got.shift) == (want.bias, want.slope, want.shift)
+    monkeypatch.setattr(quality, "fit", lambda rows, labels: quality.Model(np.zeros(1), os.getpid(), 1.0, 0.0))
+    assert quality.train(docs(spark), labels).bias != os.getpid()
